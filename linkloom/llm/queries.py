@@ -10,6 +10,8 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .topk import exact_top_k
 
+from .substring_dedup import remove_repeated_words
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -34,7 +36,12 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op8_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_words(_read(spark, sf_dir, "documents"), size=50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
     "op7_histogram_top_k": """
