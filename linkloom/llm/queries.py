@@ -12,6 +12,8 @@ from .topk import exact_top_k
 
 from .substring_dedup import remove_repeated_words
 
+from .suffix_dedup import remove_repeated_bytes
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -41,7 +43,12 @@ def op8_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(_read(spark, sf_dir, "documents"), size=100)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
     "op7_histogram_top_k": """
