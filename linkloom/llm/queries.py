@@ -14,6 +14,8 @@ from .substring_dedup import remove_repeated_words
 
 from .suffix_dedup import remove_repeated_bytes
 
+from .near_dedup import near_duplicate_classes
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -48,7 +50,12 @@ def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicate_classes(_read(spark, sf_dir, "documents"), threshold=0.8, size=5)
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
     "op7_histogram_top_k": """
