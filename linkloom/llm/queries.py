@@ -16,6 +16,11 @@ from .suffix_dedup import remove_repeated_bytes
 
 from .near_dedup import near_duplicate_classes
 
+from .decontam import contaminated
+from .decontam import oracle_sql as _decontam_sql
+
+from .surrogates import pseudonymised
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -55,9 +60,20 @@ def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", "start", "matched", "best_window")
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymised(_read(spark, sf_dir, "documents"), key="corpus-release-1")
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op10_spaced_seeds, op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
+    "op10_spaced_seeds": _decontam_sql(),
     "op7_histogram_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x : CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
