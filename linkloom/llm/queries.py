@@ -21,6 +21,8 @@ from .decontam import oracle_sql as _decontam_sql
 
 from .surrogates import pseudonymised
 
+from .toxicity import THRESHOLD, fit_toxicity, score_toxicity
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -70,7 +72,14 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op10_spaced_seeds, op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = fit_toxicity(docs, _read(spark, sf_dir, "labels"), learn_from=remainder != 1)
+    out = score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (remainder == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_windows", "n_hits")
+
+
+QUERIES = {f.__name__: f for f in (op5_compression_distance, op1_surrogates, op10_spaced_seeds, op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
     "op10_spaced_seeds": _decontam_sql(),

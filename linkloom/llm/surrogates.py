@@ -41,6 +41,7 @@ SYLLABLES = {
     "latin": "bar bel cor dan del fen gar hal ker lan mar nor pel ran sel tan var wen yor zel".split(),
     "cyrillic": "бар вел гор дан кор лан мар нор пел ран сел тан".split(),
 }
+HEXADECIMAL = {"[0-9]": "0123456789", "[a-f]": "abcdef", "[A-F]": "ABCDEF"}
 ALPHABET = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[а-я]": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "[А-Я]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"}
 
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
@@ -79,14 +80,14 @@ def _stream(key: str, what: Column, attempt: int) -> Column:
     return F.concat(F.sha2(F.concat(F.lit(f"{key}|0|"), inner), 256), F.sha2(F.concat(F.lit(f"{key}|1|"), inner), 256))
 
 
-def _alike(s: Column, stream: Column, first: int = 0) -> Column:
+def _alike(s: Column, stream: Column, first: int = 0, alphabet: dict[str, str] = ALPHABET) -> Column:
     """Each digit or letter from place ``first`` on replaced by one of its own kind."""
 
     def swap(i: Column) -> Column:
         c = F.substring(s, i + 1, F.lit(1))
         h = _byte(stream, i)
         out = F.when(i < first, c)
-        for kind, letters in ALPHABET.items():
+        for kind, letters in alphabet.items():
             out = out.when(c.rlike(kind), F.substring(F.lit(letters), h % len(letters) + 1, F.lit(1)))
         return out.otherwise(c)
 
@@ -140,8 +141,11 @@ def _surrogate(key: str, attempt: int) -> Column:
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     email = F.concat(_alike(local, stream), F.lit("@"), _alike(host, _stream(key, F.concat(F.lit("domain|"), domain), 0)), top)
-    phone = F.concat(F.regexp_extract(canon, r"^(\+\d{1,2})", 1), _alike(F.regexp_replace(canon, r"^\+\d{1,2}", ""), stream))
-    secret = F.when(canon.rlike("^AKIA"), _alike(canon, stream, 4)).otherwise(_alike(canon, stream))
+    email = F.when(domain.rlike(r"\.example\.(?:com|net|org)$"), F.regexp_replace(email, r"[^.]+\.[^.]+$", F.substring_index(domain, ".", -2))).otherwise(email)
+    code = F.regexp_extract(canon, r"^(\+(?:[17]|\d{2}))", 1)
+    number = F.substring(canon, F.length(code) + 1, F.length(canon))
+    phone = F.concat(code, (_byte(stream, 63) % 8 + 2).cast("string"), _alike(F.substring(number, F.lit(2), F.length(number)), stream))
+    secret = F.when(canon.rlike("^AKIA"), _alike(canon, stream, 4)).when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _alike(canon, stream, 0, HEXADECIMAL)).otherwise(_alike(canon, stream))
     surname, given = {}, None
     for script, syllables in SYLLABLES.items():
         surname[script] = F.initcap(F.concat(*[_picked(syllables, _byte(stream, i)) for i in range(3 + attempt // 2)]))
