@@ -23,6 +23,8 @@ from .surrogates import pseudonymised
 
 from .toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
+from .hmm import hmm_scores
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -79,7 +81,12 @@ def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_windows", "n_hits")
 
 
-QUERIES = {f.__name__: f for f in (op5_compression_distance, op1_surrogates, op10_spaced_seeds, op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return hmm_scores(_read(spark, sf_dir, "documents"), train).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_hidden_markov, op5_compression_distance, op1_surrogates, op10_spaced_seeds, op4_weighted_minhash, op6_prefix_free_parsing, op8_level_doubling, op2_virtual_slots, op7_histogram_top_k, op9_best_two_fit)}
 
 ORACLES = {
     "op10_spaced_seeds": _decontam_sql(),
