@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -174,25 +175,62 @@ def _redirect(root: Node):
     return _page_id(root.first("a").attrs["href"])
 
 
-def _function(f, kind: str, default=None):
+def _applied(f, kind: str, html, default=None):
     run = _safe(f, default)
 
-    @F.pandas_udf(kind)
-    def column(html: pd.Series) -> pd.Series:
-        return html.map(run)
-
-    return column
-
-
-headline = _function(_headline, "string")
-page_title = _function(lambda r: r.first("title").text().strip(), "string")
-links = _function(_links, "array<string>")
-list_items = _function(_items, "array<string>")
-breadcrumb_parents = _function(_parents, "array<struct<dblp_id:string,name:string>>")
-is_series_page = _function(_is_series, "boolean", False)
-header_id = _function(_header_id, "string")
-mentioned_headers = _function(_mentioned, "array<string>")
-venue_items = _function(_venue, "array<struct<relation:string,name:string,reference:string,text:string>>")
-volume_title = _function(_volume_title, "string")
-index_links = _function(_index_links, "array<string>")
-redirect_target = _function(_redirect, "string")
+    def column(values: pd.Series) -> pd.Series:
+        return values.map(run)
+
+    return F.pandas_udf(column, kind, PandasUDFType.SCALAR)(html)
+
+
+def _title(root: Node):
+    return root.first("title").text().strip()
+
+
+def headline(html):
+    return _applied(_headline, "string", html)
+
+
+def page_title(html):
+    return _applied(_title, "string", html)
+
+
+def links(html):
+    return _applied(_links, "array<string>", html)
+
+
+def list_items(html):
+    return _applied(_items, "array<string>", html)
+
+
+def breadcrumb_parents(html):
+    return _applied(_parents, "array<struct<dblp_id:string,name:string>>", html)
+
+
+def is_series_page(html):
+    return _applied(_is_series, "boolean", html, False)
+
+
+def header_id(html):
+    return _applied(_header_id, "string", html)
+
+
+def mentioned_headers(html):
+    return _applied(_mentioned, "array<string>", html)
+
+
+def venue_items(html):
+    return _applied(_venue, "array<struct<relation:string,name:string,reference:string,text:string>>", html)
+
+
+def volume_title(html):
+    return _applied(_volume_title, "string", html)
+
+
+def index_links(html):
+    return _applied(_index_links, "array<string>", html)
+
+
+def redirect_target(html):
+    return _applied(_redirect, "string", html)

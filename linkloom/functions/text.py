@@ -207,6 +207,7 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 
 def token_ngrams(tokens: Column, n: int) -> Column:
+    """tokens: a column, not an expression, or it would be worked out anew for each gram."""
     grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(grams)).when(tokens.isNotNull(), F.array().cast("array<string>"))
 

@@ -39,14 +39,15 @@ def containment_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     matches every text.
     """
     run = 3
-    cut = lambda c: F.array_remove(F.split(c, r"[\s]+"), "")
     p = patterns.filter(F.col("text").isNotNull()).select(F.col("id").alias("r_id"), F.col("text").alias("pattern"), F.split("text", r"[\s]+").alias("w"))
     keyed = p.filter(F.size("w") >= run + 2).select("r_id", "pattern", F.xxhash64(F.array_join(F.slice("w", 2, run), " ")).alias("k"))
     short = p.filter(F.size("w") < run + 2).select("r_id", "pattern")
     t = texts.filter(F.col("text").isNotNull()).select(F.col("id").alias("l_id"), F.col("text").alias("body"))
-    w = cut(F.col("body"))
-    keys = F.when(F.size(w) >= run, F.transform(F.sequence(F.lit(1), F.size(w) - run + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(run)), " "))))
-    hits = t.select("l_id", F.explode(F.array_distinct(keys)).alias("k")).join(broadcast_if_small(keyed), "k").select("l_id", "r_id", "pattern")
+    # Words are a column of their own, so that they are cut once a text and not once a run.
+    cut = t.select("l_id", F.array_remove(F.split("body", r"[\s]+"), "").alias("w"))
+    keys = F.when(F.size("w") >= run, F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(run)), " "))))
+    keyed_texts = cut.select("l_id", F.explode(F.array_distinct(keys)).alias("k"))
+    hits = keyed_texts.join(broadcast_if_small(keyed), "k").select("l_id", "r_id", "pattern")
     found = hits.join(t, "l_id").filter(F.contains("body", "pattern")).select("l_id", "r_id")
     rest = t.join(broadcast_if_small(short), F.contains("body", "pattern")).select("l_id", "r_id")
     return found.unionByName(rest).distinct()
@@ -104,14 +105,15 @@ def tfidf_pairs(left: DataFrame, right: DataFrame, threshold: float, stop: tuple
     return a.join(b, "term").groupBy("l_id", "r_id").agg(F.sum(F.col("a") * F.col("b")).alias("score")).filter(F.round("score", 9) >= threshold)
 
 
-def pair_tfidf(a: Column, b: Column) -> Column:
-    """Cosine of two texts with idf fitted on the two alone: a term of both has idf 1, of one ln(3/2) + 1."""
-    ta, tb = T.terms(a), T.terms(b)
-    both = F.array_union(ta, tb)
+def pair_tfidf(pairs: DataFrame, a: str, b: str, name: str = "score") -> DataFrame:
+    """Adds the cosine of two text columns with idf fitted on the two alone: a term of both has idf 1, of one ln(3/2) + 1."""
+    pairs = pairs.withColumns({"_ta": T.terms(F.col(a)), "_tb": T.terms(F.col(b))}).withColumn("_both", F.array_union("_ta", "_tb"))
+    ta, tb, both = F.col("_ta"), F.col("_tb"), F.col("_both")
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t)).cast("double")
     idf = lambda t: F.when(F.array_contains(ta, t) & F.array_contains(tb, t), 1.0).otherwise(math.log(1.5) + 1)
     va, vb = F.transform(both, lambda t: count(ta, t) * idf(t)), F.transform(both, lambda t: count(tb, t) * idf(t))
-    return T.cosine(va, vb)
+    out = pairs.withColumns({"_va": va, "_vb": vb})
+    return out.withColumn(name, T.cosine(F.col("_va"), F.col("_vb"))).drop("_ta", "_tb", "_both", "_va", "_vb")
 
 
 def phrase_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ SELECT l_id, r_id, round(inter / (len(x.g) + len(y.g) - inter), 6) AS score
 FROM i JOIN g x ON x.id = l_id JOIN g y ON y.id = r_id WHERE 2 * inter >= len(x.g) + len(y.g) - inter""")
 def word_trigram_jaccard(spark, sf):
     """Documents that share at least half of their word trigrams."""
-    sets = _texts(spark, sf).select("id", T.token_ngrams(T.words(F.col("text")), 3).alias("grams"))
+    words = _texts(spark, sf).select("id", T.words(F.col("text")).alias("w"))
+    sets = words.select("id", T.token_ngrams(F.col("w"), 3).alias("grams"))
     return similarity.set_similarity_pairs(sets, sets, "jaccard", Fraction(1, 2)).filter("l_id < r_id").select("l_id", "r_id", F.round("score", 6).alias("score"))
 
 
@@ -238,7 +239,7 @@ def pairwise_tfidf(spark, sf):
     texts, items = _texts(spark, sf), _texts(spark, sf, "benchmark", "item_id")
     pairs = similarity.containment_pairs(texts, items)
     full = pairs.join(texts.select(F.col("id").alias("l_id"), F.col("text").alias("a")), "l_id").join(items.select(F.col("id").alias("r_id"), F.col("text").alias("b")), "r_id")
-    return full.select(F.col("l_id").alias("doc_id"), F.col("r_id").alias("item_id"), F.round(similarity.pair_tfidf(F.col("a"), F.col("b")), 6).alias("score"))
+    return similarity.pair_tfidf(full, "a", "b").select(F.col("l_id").alias("doc_id"), F.col("r_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 # Text functions
