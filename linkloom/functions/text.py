@@ -206,10 +206,26 @@ def char_ngrams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(grams)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it.
+
+    The optimiser puts expressions in the place of their names when it moves filters (also
+    those that explode implies), and inside a loop over an array they would run each time.
+    """
+    return F.get(F.transform(F.array(value), lambda x: f(x)), 0)
+
+
 def token_ngrams(tokens: Column, n: int) -> Column:
-    """tokens: a column, not an expression, or it would be worked out anew for each gram."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(grams)).when(tokens.isNotNull(), F.array().cast("array<string>"))
+    def grams(t: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: token_run(t, i, n))
+        return F.when(F.size(t) >= n, F.array_distinct(found)).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return let(tokens, grams)
+
+
+def token_run(tokens: Column, i: Column, n: int, separator: str = " ") -> Column:
+    """n tokens from place i (from 0) on; slice() would copy the whole array for each run."""
+    return F.concat_ws(separator, *[F.get(tokens, i + k) for k in range(n)])
 
 
 def dice(a: Column, b: Column) -> Column:

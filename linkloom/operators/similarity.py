@@ -43,10 +43,11 @@ def containment_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     keyed = p.filter(F.size("w") >= run + 2).select("r_id", "pattern", F.xxhash64(F.array_join(F.slice("w", 2, run), " ")).alias("k"))
     short = p.filter(F.size("w") < run + 2).select("r_id", "pattern")
     t = texts.filter(F.col("text").isNotNull()).select(F.col("id").alias("l_id"), F.col("text").alias("body"))
-    # Words are a column of their own, so that they are cut once a text and not once a run.
-    cut = t.select("l_id", F.array_remove(F.split("body", r"[\s]+"), "").alias("w"))
-    keys = F.when(F.size("w") >= run, F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(run)), " "))))
-    keyed_texts = cut.select("l_id", F.explode(F.array_distinct(keys)).alias("k"))
+
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) >= run, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - run), lambda i: F.xxhash64(T.token_run(w, i, run)))))
+
+    keyed_texts = t.select("l_id", F.explode(T.let(F.array_remove(F.split("body", r"[\s]+"), ""), runs)).alias("k"))
     hits = keyed_texts.join(broadcast_if_small(keyed), "k").select("l_id", "r_id", "pattern")
     found = hits.join(t, "l_id").filter(F.contains("body", "pattern")).select("l_id", "r_id")
     rest = t.join(broadcast_if_small(short), F.contains("body", "pattern")).select("l_id", "r_id")
@@ -124,19 +125,16 @@ def phrase_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     t = texts.select(F.col("id").alias("l_id"), T.phrase_tokens(F.col("text")).alias("t"))
     if not lengths:
         return t.join(p, F.lit(False)).select("l_id", "r_id", F.lit(0).alias("start"))
-    grams = []
-    for n in lengths:
-        some = F.when(F.size("t") >= n, _grams(n))
-        grams.append(F.coalesce(some, F.array().cast("array<struct<start:int,n:int,key:string>>")))
-    rows = t.select("l_id", F.explode(F.concat(*grams)).alias("g")).select("l_id", "g.start", "g.n", "g.key")
+    rows = t.select("l_id", F.explode(T.let(F.col("t"), lambda t: F.concat(*[_grams(t, n) for n in lengths]))).alias("g")).select("l_id", "g.start", "g.n", "g.key")
     return rows.join(broadcast_if_small(p), ["n", "key"]).select("l_id", "r_id", "start")
 
 
-def _grams(n: int) -> Column:
+def _grams(t: Column, n: int) -> Column:
     def gram(i: Column) -> Column:
-        return F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("t", i + 1, F.lit(n)), "\u0001").alias("key"))
+        return F.struct(i.alias("start"), F.lit(n).alias("n"), T.token_run(t, i, n, "\u0001").alias("key"))
 
-    return F.transform(F.sequence(F.lit(0), F.size("t") - n), gram)
+    some = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), gram))
+    return F.coalesce(some, F.array().cast("array<struct<start:int,n:int,key:string>>"))
 
 
 def cosine_top1(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
