@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from ._sums import summed
 from ._text import Words, chunks, mix, signed
 
 HEAD, TAIL, STATES = 1 << 16, 4096, 8
@@ -34,7 +35,7 @@ START_DOCS, START_PASSES = 2000, 12
 TOKENS = 1 << 19
 #: Occurrences by which a class's states are drawn to those of all tokens: a rare word says little of its state.
 PRIOR = 4.0
-_CHUNK = 4096
+_CHUNK = 256
 
 
 def _tail_class(words: Words) -> np.ndarray:
@@ -209,6 +210,23 @@ def _groups(column, size: int):
         yield rows, ids[np.repeat(offsets[rows] - bounds[:-1], n) + np.arange(bounds[-1])], bounds
 
 
+def _head_count(counts: DataFrame) -> int:
+    """The least count from which on there are at most HEAD words, from a histogram of count sizes.
+
+    Sizes up to 64 are kept apart and larger ones in sixteenths of a power of two.
+    """
+    size = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16) - 32)
+    words, least = 0, 1
+    for r in sorted(counts.groupBy(size.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["s"]):
+        words += r["k"]
+        if words > HEAD:
+            break
+        least = r["n"]
+    else:
+        return 1
+    return least if words > r["k"] else 1 << 62  # not even the largest size fits
+
+
 def _start(sequences: list[np.ndarray], classes: Classes) -> Model:
     """First parameters: each sampled document begins in one state, then passes over the sample."""
     corpus = classes.weights()
@@ -244,14 +262,8 @@ def _pass(encoded: DataFrame, m: Model, classes: Classes) -> Model:
         parts += [(-1, start.tobytes()), (-2, move.tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "counts"])
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-    rows = encoded.filter("train").select("ids").mapInArrow(expect, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, counts binary")
+    parts = encoded.filter("train").select("ids").mapInArrow(expect, "chunk long, counts binary")
+    rows = summed(parts, np.float64)
     got = {r["chunk"]: np.frombuffer(bytes(r["counts"])) for r in rows.collect()}  # (HEAD + TAIL) * STATES numbers
     if not got:
         return m
@@ -273,7 +285,7 @@ def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = scratch.save(_counted(own.filter("train")), "counts")
-    head = counts.orderBy(F.desc("n"), F.asc("h")).limit(HEAD).collect()  # HEAD rows
+    head = counts.filter(F.col("n") >= _head_count(counts)).select("h", "n", "tail").collect()  # at most HEAD rows
     h = np.array([r["h"] for r in head], np.int64).view(np.uint64)
     order = np.argsort(h)
     n = np.array([r["n"] for r in head], np.int64)[order]
