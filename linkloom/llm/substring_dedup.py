@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import covered, mark, mark_ids, marked, named, part_of, runs, with_spans
+from ._repeats import Marker, covered, mark, mark_ids, marked, named, part_of, runs, small, with_spans
 from ._scratch import Scratch
 from ._text import Words, chunks, prefix_sums, room, signed, window_hashes
 
@@ -30,7 +30,7 @@ def levels(size: int) -> list[int]:
     return out
 
 
-def _survivors(sums: np.ndarray, words: Words, size: int, lengths: list[int], markers: list[np.ndarray]) -> np.ndarray | None:
+def _survivors(sums: np.ndarray, words: Words, size: int, lengths: list[int], markers: list[Marker]) -> np.ndarray | None:
     """By start, the windows whose named k-gram is marked at every level so far."""
     among = None
     for k, bits in zip(lengths, markers):
@@ -109,7 +109,7 @@ def remove_repeated_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches, 1):
             starts = b.column(2) if b.num_columns > 2 else [None] * b.num_rows
             out = []
             for text, at in zip(b.column(1), starts):
