@@ -8,15 +8,30 @@ so few rows are counted.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import room, sliding_argmin
 
-#: Bits of a marker: 16 MB at any size of corpus. More repeated values than bits only mean
+#: Bits of a marker: 8 MB at any size of corpus. More repeated values than bits only mean
 #: that more windows go on to the next, exact step; no window is lost.
-MARKER_BITS = 27
+MARKER_BITS = 26
+
+
+class Marker:
+    """A bitmap that travels compressed: a broadcast is written to disk by every executor."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.bits = np.frombuffer(zlib.decompress(state), np.uint8)
 
 
 def named(grams: np.ndarray, k: int, size: int, bounds: np.ndarray, total: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +55,7 @@ def named(grams: np.ndarray, k: int, size: int, bounds: np.ndarray, total: int,
     return at[first], first, last
 
 
-def mark(df: DataFrame, value: str) -> np.ndarray:
+def mark(df: DataFrame, value: str) -> Marker:
     """A bitmap of bounded size that has a bit for each of the 64-bit hashes; others may share bits."""
     index = F.pmod(F.col(value), F.lit(1 << MARKER_BITS)) + 1  # the functions count values from 1
     rows = df.groupBy(F.bitmap_bucket_number(index).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(index)).alias("bits")).collect()
@@ -48,12 +63,12 @@ def mark(df: DataFrame, value: str) -> np.ndarray:
     for r in rows:
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return Marker(out)
 
 
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def marked(marker: Marker, hashes: np.ndarray) -> np.ndarray:
     index = (hashes & np.uint64((1 << MARKER_BITS) - 1)).astype(np.int64)
-    return (bits[index >> 3] >> (index & 7).astype(np.uint8)) & 1 > 0
+    return (marker.bits[index >> 3] >> (index & 7).astype(np.uint8)) & 1 > 0
 
 
 def part_of(text: Column) -> Column:
@@ -75,25 +90,31 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def small(batches, text: int):
+    """The batches in slices of at most CHUNK bytes of the text column, or one row."""
+    from ._text import chunks
+
+    for b in batches:
+        for first, last, _, _ in chunks(b.column(text)):
+            yield b.slice(first, last - first)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, bits: Marker) -> tuple[DataFrame, DataFrame]:
     """(documents with their spans, documents that can't have any).
 
     docs: id, text; spans: id, part, starts, ends. Only texts whose id is marked in bits are
     shuffled to meet their spans.
     """
-    shared = bits.tobytes()
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(shared)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def flag(batches):
         import pyarrow as pa
 
         from ._text import mix
 
-        table = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
+        for b in small(batches, 1):
             ids = b.column(0)
-            hit = marked(table, mix(ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))) & ids.is_valid().to_numpy(zero_copy_only=False)
+            hit = marked(shared.value, mix(ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit)], ["id", "text", "hit"])
 
     flagged = docs.mapInArrow(flag, "id long, text string, hit boolean")
@@ -101,7 +122,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, bits: np.ndarray) -> tuple[Dat
     return hit.join(spans, ["id", "part"], "left").drop("part"), flagged.filter("not hit").drop("hit")
 
 
-def mark_ids(df: DataFrame) -> np.ndarray:
+def mark_ids(df: DataFrame) -> Marker:
     """The bitmap of the distinct ids of df, by their mixed value."""
     import pyarrow as pa
 
