@@ -6,9 +6,12 @@ decides. Consecutive strings with one trigger form a phrase: the bytes from the
 string's start to the last one's end. Phrases overlap so that every string of ``size`` bytes
 lies whole in exactly one phrase, and equal strings lie in phrases with equal triggers.
 
-Dictionary and parse. The distinct phrases are the dictionary; the parse is where in the
-corpus, ordered by (document id, start), each phrase stands. In highly repetitive text the
-parse is long and the dictionary short: copies of a passage are rows of the parse only.
+Dictionary and parse. The phrases are the dictionary; the parse is where in the corpus,
+ordered by (document id, start), they stand. The parse is parsed again: runs of phrases are
+cut after phrases whose hash is a multiple of RUN, and equal runs have one name. A run that
+stands anywhere but at its first place repeats whole, and the first place of any string lies
+in the first place of its run. So in highly repetitive text the dictionary only gets the
+phrases of the distinct runs, and copies of a passage are short rows of the parse.
 
 Suffix order. The dictionary is dealt out by trigger; each task sorts the suffixes of its
 phrases to the depth of ``size`` bytes (prefix doubling: 8, 16, 32, ... bytes), which puts
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import covered, mark, mark_ids, marked, named, part_of, runs, with_spans
+from ._repeats import covered, mark, mark_ids, marked, named, part_of, runs, small, with_spans
 from ._scratch import Scratch
-from ._text import byte_sums, chunks, signed, window_hashes
+from ._text import byte_sums, chunks, prefix_sums, signed, span_hashes, window_hashes
 
 TRIGGER = 32
-#: A trigger with more distinct phrases than this has its strings dealt out one by one.
-PHRASES = 4096
+#: A trigger with more phrases than this (a few MB of bytes) has its strings dealt out one by one.
+PHRASES = 32_768
+#: Phrases in a run, about.
+RUN = 8
 #: Bytes of dictionary sorted at once, more or less.
 SORTED = 1 << 20
 
@@ -70,10 +75,6 @@ def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
     return rank[:n]
 
 
-def _place(struct_of: str):
-    return F.struct(F.col("id"), F.col("part"), F.col(struct_of).alias("start"))
-
-
 def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
     """(id, part, start, end): spans, in bytes, covered by strings of ``size`` bytes that also start earlier.
 
@@ -103,42 +104,67 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
                 trigger, first, last = found
                 keep = marked(shared.value, trigger)
                 trigger, first, last = trigger[keep], first[keep], last[keep]
-                doc = np.searchsorted(offsets, first, "right") - 1
-                raw = data.tobytes()
-                phrases = [raw[a : b + size] for a, b in zip(first.tolist(), last.tolist())]
+                if not len(first):
+                    continue
+                name = span_hashes(byte_sums(data), first, last + size)
+                # A run ends at a phrase of a certain hash, and where the next phrase isn't the next in the text.
+                end = (name % np.uint64(RUN) == 0) | np.append(first[1:] != last[:-1] + 1, True)
+                ends = np.flatnonzero(end)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                doc = np.searchsorted(offsets, first[starts], "right") - 1
+                raw, upto = data.tobytes(), pa.array(np.append(starts, len(first)).astype(np.int32))
+                begin = np.repeat(first[starts], ends - starts + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(trigger), pa.array(phrases, pa.binary()), pa.array(ids[row + doc]), pa.array(parts[row + doc]), pa.array((first - offsets[doc]).astype(np.int64)), pa.array((last - first).astype(np.int32))],
-                    ["trigger", "phrase", "id", "part", "start", "more"],
-                )
-
-    # The parse. A phrase is known by two hashes of its bytes; its bytes are kept once a task or less often.
-    rows = own.mapInArrow(parse, "trigger long, phrase binary, id long, part long, start long, more int")
-    rows = rows.withColumn("name", F.xxhash64("phrase", F.lit(7)))
-    rows = scratch.save(rows, "parse")
-    parsed = rows.select("trigger", "name", "id", "part", "start", "more")
-    firsts = parsed.groupBy("trigger", "name").agg(F.min(_place("start")).alias("first"), F.count("*").alias("n"))
-    firsts = scratch.save(firsts, "firsts")
-
-    # Every other occurrence of a phrase repeats its first one whole.
-    copies = parsed.join(firsts.filter("n > 1").select("trigger", "name", "first"), ["trigger", "name"])
-    later = (F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("start") > F.col("first.start")))
-    copies = copies.filter(later).select("id", "part", "start", (F.col("start") + F.col("more") + size).alias("end"))
-
-    # The dictionary: one row a phrase, with its first occurrence, where the trigger has several phrases.
-    several = firsts.groupBy("trigger").agg(F.count("*").alias("phrases")).filter("phrases > 1")
-    place = firsts.select("trigger", "name", F.col("first.id").alias("id"), F.col("first.part").alias("part"), F.col("first.start").alias("start"))
-    dictionary = rows.select("trigger", "name", "phrase", "id", "part", "start").join(place, ["trigger", "name", "id", "part", "start"])
-    dictionary = dictionary.dropDuplicates(["trigger", "name"]).join(several, "trigger")
-    dictionary = scratch.save(dictionary.select("trigger", "phrase", "id", "part", "start", "phrases"), "dictionary")
-
-    sort = dictionary.filter(F.col("phrases") <= PHRASES).repartition("trigger").sortWithinPartitions("trigger")
-    sorted_ = sort.select("trigger", "phrase", "id", "part", "start").mapInArrow(_sorter(size), "id long, part long, start long, end long")
+                    [
+                        signed(span_hashes(prefix_sums(name), starts, ends + 1)),
+                        pa.array(ids[row + doc]), pa.array(parts[row + doc]), pa.array((first[starts] - offsets[doc]).astype(np.int64)),
+                        pa.array([raw[x : y + size] for x, y in zip(first[starts].tolist(), last[ends].tolist())], pa.binary()),
+                        pa.ListArray.from_arrays(upto, signed(trigger)), pa.ListArray.from_arrays(upto, pa.array((first - begin).astype(np.int32))), pa.ListArray.from_arrays(upto, pa.array((last - begin).astype(np.int32))),
+                    ],
+                    ["name", "id", "part", "start", "bytes", "triggers", "firsts", "lasts"],
+                )
+
+    parsed = own.mapInArrow(parse, "name long, id long, part long, start long, bytes binary, triggers array<long>, firsts array<int>, lasts array<int>")
+    # Two hashes of its bytes and its length name a run.
+    parsed = scratch.save(parsed.withColumn("check", F.xxhash64("bytes")).withColumn("n_bytes", F.octet_length("bytes")), "parse")
+    name = ["name", "check", "n_bytes"]
+    firsts = parsed.groupBy(*name).agg(F.min(F.struct("id", "part", "start")).alias("first"), F.count("*").alias("n"))
+    firsts = scratch.save(firsts.select(*name, "n", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "part", "start")]), "firsts")
+
+    # Every other occurrence of a run repeats its first one whole.
+    later = (F.col("id") > F.col("first_id")) | ((F.col("id") == F.col("first_id")) & (F.col("start") > F.col("first_start")))
+    copies = parsed.select(*name, "id", "part", "start").join(firsts.filter("n > 1").drop("n", "first_part"), name)
+    copies = copies.filter(later).select("id", "part", "start", (F.col("start") + F.col("n_bytes")).alias("end"))
+
+    # The dictionary: the phrases of each run's first occurrence.
+    place = firsts.select("name", "check", F.col("first_id").alias("id"), F.col("first_part").alias("part"), F.col("first_start").alias("start"))
+    runs_ = parsed.join(place, ["name", "check", "id", "part", "start"])
+
+    def phrases(batches):
+        for b in batches:
+            column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            raw = column["bytes"].to_pylist()
+            sizes = np.diff(column["triggers"].offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), sizes)
+            first, last = (column[c].flatten().to_numpy() for c in ("firsts", "lasts"))
+            yield pa.RecordBatch.from_arrays(
+                [column["triggers"].flatten(), pa.array([raw[i][x : y + size] for i, x, y in zip(of.tolist(), first.tolist(), last.tolist())], pa.binary())]
+                + [column["id"].take(pa.array(of)), column["part"].take(pa.array(of)), pa.array(column["start"].to_numpy()[of] + first)],
+                ["trigger", "phrase", "id", "part", "start"],
+            )
+
+    dictionary = runs_.select("bytes", "triggers", "firsts", "lasts", "id", "part", "start").mapInArrow(phrases, "trigger long, phrase binary, id long, part long, start long")
+    dictionary = scratch.save(dictionary, "dictionary")
+    several = scratch.save(dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).filter("phrases > 1"), "several")
+    dictionary = dictionary.join(several, "trigger")
+
+    sort = dictionary.filter(F.col("phrases") <= PHRASES).select("trigger", "phrase", "id", "part", "start")
+    sorted_ = sort.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorter(size), "id long, part long, start long, end long")
 
     def strings(batches):
         for b in batches:
-            phrases = b.column(0).cast(pa.large_binary())
             ids, parts, starts = (b.column(i).to_numpy() for i in (1, 2, 3))
-            for i, p in enumerate(phrases):
+            for i, p in enumerate(b.column(0)):
                 data = np.frombuffer(p.as_py(), np.uint8)
                 h = window_hashes(byte_sums(data), size)
                 n = len(h)
@@ -146,33 +172,64 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
 
     single = dictionary.filter(F.col("phrases") > PHRASES).select("phrase", "id", "part", "start").mapInArrow(strings, "h long, id long, part long, start long")
     single = scratch.save(single, "strings")
-    earliest = single.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earliest = single.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    earliest = earliest.select("h", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
     single = single.join(earliest, "h").filter(later).select("id", "part", "start", (F.col("start") + size).alias("end"))
     return copies.unionByName(sorted_).unionByName(single)
 
 
+def _spans(ids, parts, starts, ends) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, parts, starts, ends)], ["id", "part", "start", "end"])
+
+
+def _sorted(phrases: list[bytes], place: np.ndarray, size: int):
+    """Spans of the strings that stand earlier in one of the other phrases, by suffix order."""
+    data = np.frombuffer(b"".join(phrases), np.uint8)
+    lengths = np.array([len(p) for p in phrases])
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    n = lengths - size + 1
+    own = np.repeat(np.arange(len(phrases)), n)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    rank = suffix_ranks(data, size)[bounds[own] + at]
+    id_, start = place[own, 0], place[own, 2] + at
+    order = np.lexsort((start, id_, rank))
+    head = np.ones(len(order), bool)
+    head[1:] = np.diff(rank[order]) > 0
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    repeat = (id_[order] > id_[first]) | (start[order] > start[first])
+    where = np.sort(order[repeat])
+    if len(where):
+        split = np.flatnonzero((np.diff(where) != 1) | (np.diff(own[where]) != 0))
+        a, b = where[np.concatenate([[0], split + 1])], where[np.concatenate([split, [len(where) - 1]])]
+        yield _spans(id_[a], place[own[a], 1], start[a], start[b] + size)
+
+
 def _sorter(size: int):
     """Sorts the dictionary, trigger by trigger, and returns what each phrase repeats of phrases that stand earlier."""
 
     def spans(phrases: list[bytes], place: np.ndarray):
-        data = np.frombuffer(b"".join(phrases), np.uint8)
         lengths = np.array([len(p) for p in phrases])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        rank = suffix_ranks(data, size)
-        own = np.repeat(np.arange(len(phrases)), lengths - size + 1)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(lengths - size + 1) - (lengths - size + 1), lengths - size + 1)
-        rank = rank[bounds[own] + at]
-        id_, start = place[own, 0], place[own, 2] + at
-        order = np.lexsort((start, id_, rank))
-        head = np.ones(len(order), bool)
-        head[1:] = np.diff(rank[order]) > 0
+        sums = byte_sums(np.frombuffer(b"".join(phrases), np.uint8))
+        # A phrase that stands earlier repeats whole; the sort gets each phrase once.
+        order = np.lexsort((place[:, 2], place[:, 0], span_hashes(sums, bounds[:-1], bounds[1:])))
+        names = span_hashes(sums, bounds[:-1], bounds[1:])[order]
+        head = np.concatenate([[True], names[1:] != names[:-1]])
         first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        repeat = (id_[order] > id_[first]) | (start[order] > start[first])
-        where = np.sort(order[repeat])
-        if len(where):
-            split = np.flatnonzero((np.diff(where) != 1) | (np.diff(own[where]) != 0))
-            a, b = where[np.concatenate([[0], split + 1])], where[np.concatenate([split, [len(where) - 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(id_[a]), pa.array(place[own[a], 1]), pa.array(start[a]), pa.array(start[b] + size)], ["id", "part", "start", "end"])
+        later = (place[order, 0] != place[first, 0]) | (place[order, 2] != place[first, 2])
+        own = order[later]
+        if len(own):
+            yield _spans(place[own, 0], place[own, 1], place[own, 2], place[own, 2] + lengths[own])
+        # Phrases of which no string's hash comes twice can't repeat.
+        kept = np.sort(order[head])
+        n = lengths[kept] - size + 1
+        of = np.repeat(kept, n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        hashes = window_hashes(sums, size)[bounds[of] + at]
+        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        some = np.unique(of[count[back] > 1])
+        if len(some):
+            yield from _sorted([phrases[i] for i in some], place[some], size)
 
     def run(batches):
         last, phrases, places, held = None, [], [], 0
@@ -216,7 +273,7 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 100, id_col: str = "doc_i
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches, 1):
             out = []
             for i, text in enumerate(b.column(1)):
                 raw = (text.as_py() or "").encode()
