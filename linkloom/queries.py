@@ -574,4 +574,4 @@ def linked_titles(spark, sf):
     from .plans import linking
 
     names = _names(spark, sf).withColumns({"qid": F.col("id").cast("string"), "label": F.col("text"), "title": F.col("text"), "part_of_series": F.when(F.col("id") % 2 == 1, "known")})
-    return linking.link(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), required=2)["matches"].select("event", "series", "votes", "found_by")
+    return linking.link(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), required=1)["matches"].select("event", "series", "votes", "found_by")
