@@ -11,7 +11,7 @@ from ._scratch import Scratch
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every edge leads to a root: no node leads to two, and no root leads on."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(u, root): each node of the edges (u, v) but the roots, with the least node of its component.
 
@@ -28,12 +35,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     of the component size. Each round is written to the shared folder and the one before it
     dropped, so lineage stays short. Edges from a node to itself are dropped.
     """
-    edges = scratch.save(edges.filter("u <> v").distinct(), f"{name}-0")
-    before, at = None, 0
+    edges, at = scratch.save(edges.filter("u <> v"), f"{name}-0"), 0
     while True:
-        found = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if not found[0] or tuple(found) == before:
-            return edges.select("u", F.col("v").alias("root"))
-        before, at = tuple(found), at + 1
+        at += 1
         edges = scratch.save(_small(_large(edges)), f"{name}-{at}")
         scratch.drop(f"{name}-{at - 1}")
+        if _finished(edges):
+            return edges.select("u", F.col("v").alias("root"))

@@ -17,11 +17,13 @@ with probability (1 - 0.8**3)**12 = 0.0002.
 
 Verification. Equal texts are one node. In each bucket all members are compared with one
 pivot, the exact weighted Jaccard similarity deciding; linked nodes are one component.
-Buckets that still hold several components get another pivot, the member most similar to
-the one before (in a group of copies, that is close to their original). What is then still
-in one bucket but in different components is compared pair by pair, except where the
-triangle inequality of the Jaccard distance rules a link out. So no link within a bucket is
-lost, and groups of thousands of copies cost a few comparisons a member.
+While buckets that hold several components leave many pairs, two things keep them from being
+compared one by one. The weight of what a text alone holds, of all members of such buckets,
+bounds its similarity with any of them, so a copy with edits beyond the threshold leaves.
+And such buckets get another pivot, the member that alone holds least (in a group of copies,
+that is their original). What is then still in one bucket but in different components, and
+not ruled out by the bound, is compared pair by pair. So no link within a bucket is lost,
+and groups of thousands of copies cost a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 from ._components import components
 from ._repeats import mark, marked
 from ._scratch import Scratch
+from ._sums import summed
 from ._text import Words, chunks, mix, prefix_sums, signed, span_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BITS = 20
-#: Pivots that a bucket gets before its remaining pairs are compared one by one.
-PIVOTS = 3
+#: Pivots that a bucket gets, and pairs left for each of its rows, before what is left is compared one by one.
+PIVOTS, PAIRS = 6, 2
 #: Members of a pivot that one run of rows holds.
 SALTED = 256
 _DF_CHUNK = 4096
@@ -84,17 +87,10 @@ def document_frequencies(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
                 seen += np.bincount(_bucket(shingles(data, offsets, size)[1]), minlength=1 << DF_BITS).astype(np.int32)
         parts = seen.reshape(-1, _DF_CHUNK)
         some = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].astype(np.int64).tobytes() for i in some], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((1 << DF_BITS) // _DF_CHUNK * _DF_CHUNK, np.int64).reshape(-1, _DF_CHUNK)
-    rows = docs.select("text").mapInArrow(count, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, counts binary")
+    rows = summed(docs.select("text").mapInArrow(count, "chunk long, counts binary"), np.int64)
     for r in rows.collect():  # 8 MB
         out[r["chunk"]] = np.frombuffer(bytes(r["counts"]), np.int64)
     return out.ravel()
@@ -260,51 +256,94 @@ def near_duplicate_classes(
     texts = own.select(text_node(F.col("text")).alias("node"), "text").withColumn("h", F.xxhash64("node")).mapInArrow(candidates, "node binary, text string, h long").drop("h")
     texts = scratch.save(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    links, tested, roots = None, None, None
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    for turn in range(PIVOTS + 1):
-        if turn == 0:
-            pairs = buckets.join(pivots, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-        else:
-            # Buckets that hold several components; a node without links is a component of its own.
-            labelled = buckets.join(roots, F.col("node") == F.col("u"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-            several = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-            labelled = scratch.save(labelled.join(several, "bucket"), f"open-{turn}")
-            if labelled.isEmpty():
-                break
-            if turn < PIVOTS:
-                near = labelled.join(pivots, "bucket").join(tested, (F.col("a") == F.col("ta")) & (F.col("node") == F.col("tb")), "left")
-                pivots = near.filter("a <> node").groupBy("bucket").agg(F.max_by(F.struct(F.col("node"), F.col("root")), F.struct(F.coalesce("similarity", F.lit(0.0)), F.col("node"))).alias("p"))
-                pivots = scratch.save(pivots.select("bucket", F.col("p.node").alias("a"), F.col("p.root").alias("a_root")), f"pivots-{turn}")
-                pairs = labelled.join(pivots, "bucket").filter("root <> a_root").select("a", F.col("node").alias("b")).distinct()
-                pivots = pivots.select("bucket", "a")
-            else:
-                pairs = _remaining(labelled, tested, threshold)
-            known = tested.select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        found = scratch.save(_verify(scratch.save(pairs, f"pairs-{turn}"), texts, idf, size), f"found-{turn}")
+    pairs = scratch.save(buckets.join(pivots, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs-0")
+    links, tested, profile, tried, last, turn = None, None, None, pivots.select("bucket", "a"), False, 0
+    while True:
+        found = scratch.save(_verify(pairs, texts, idf, size), f"found-{turn}")
         found = found.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "similarity")
         tested = found if tested is None else tested.unionByName(found)
         now = found.filter(F.col("similarity") >= threshold).select(F.col("ta").alias("u"), F.col("tb").alias("v"))
-        links = now if links is None else roots.select("u", F.col("root").alias("v")).unionByName(now)
+        links = now if turn == 0 else roots.select("u", F.col("root").alias("v")).unionByName(now)
         roots = components(links, scratch, f"components-{turn}")
+        if last:
+            break  # all pairs that were left are compared
+        turn += 1
+        # Buckets that hold several components; a node without links is a component of its own.
+        labelled = buckets.join(roots, F.col("node") == F.col("u"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        several = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y")
+        labelled = scratch.save(labelled.join(several.select("bucket", "m"), "bucket"), f"open-{turn}")
+        size_of = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.max("m").alias("m"))
+        cross = size_of.agg(F.sum(F.col("k") * (F.col("m") - F.col("k"))).cast("double") / 2).first()[0]
+        if not cross:
+            break
+        known = tested.select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        many = cross > PAIRS * buckets.count()
+        if many and profile is None:
+            profile = scratch.save(_profile(labelled, texts, idf, size), "profile")
+        if profile is not None:
+            # What no other member of an open bucket holds bounds a text's similarity with all of
+            # them. Buckets only close, so the members of the first turn stay all there are.
+            labelled = labelled.join(profile.filter(F.col("w") - F.col("own") >= (threshold - 1e-6) * F.col("w")), "node")
+            if many and turn <= PIVOTS:
+                done = tried.select("bucket", F.col("a").alias("node"))
+                best = labelled.join(done, ["bucket", "node"], "left_anti").groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("own") / F.col("w"), F.col("node"))).alias("p"))
+                pivots = scratch.save(best.select("bucket", F.col("p.node").alias("a"), F.col("p.root").alias("a_root")), f"pivots-{turn}")
+                tried = tried.unionByName(pivots.select("bucket", "a"))
+                pairs = labelled.join(pivots, "bucket").filter("root <> a_root").select("a", F.col("node").alias("b")).distinct()
+                pairs, last = scratch.save(pairs.join(known, ["a", "b"], "left_anti"), f"pairs-{turn}"), False
+                continue
+        pairs, last = scratch.save(_remaining(labelled, profile, threshold).join(known, ["a", "b"], "left_anti"), f"pairs-{turn}"), True
+        if pairs.isEmpty():
+            break
     labelled = nodes.join(roots, F.col("node") == F.col("u"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes, "root").select("id", "class_id", "node", "class_size")
 
 
-def _remaining(labelled: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+def _profile(labelled: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame:
+    """(node, w, own): a text's weight, and the weight of its shingles that no other of these texts holds.
+
+    Which shingles several texts hold is kept in a bitmap; shared bits can only make ``own``
+    smaller, so what is derived from it stays a bound.
+    """
+    open_texts = texts.join(labelled.select("node").distinct(), "node", "left_semi")
+
+    def names(batches):
+        for b in batches:
+            for _, _, data, offsets in chunks(b.column(1)):
+                yield pa.RecordBatch.from_arrays([signed(shingles(data, offsets, size)[1])], ["h"])
+
+    several = open_texts.mapInArrow(names, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = texts.sparkSession.sparkContext.broadcast(mark(several, "h"))
+
+    def weigh(batches):
+        for b in batches:
+            for first, last, data, offsets in chunks(b.column(1)):
+                row, h, count = shingles(data, offsets, size)
+                w = count * idf.value[_bucket(h)].astype(np.float64)
+                n = last - first
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.bincount(row, w, n)), pa.array(np.bincount(row, np.where(marked(bits.value, h), 0.0, w), n))], ["node", "w", "own"])
+
+    return open_texts.mapInArrow(weigh, "node binary, w double, own double")
+
+
+def _remaining(labelled: DataFrame, profile: DataFrame | None, threshold: float) -> DataFrame:
     """Pairs in one bucket but in different components that may still be linked.
 
-    For a pivot p, the distance d = 1 - similarity obeys |d(p, x) - d(p, y)| <= d(x, y), so
-    with both distances known a pair is skipped where they differ by more than 1 - threshold.
+    With profiles, a pair is skipped where the most that two texts can share, the lesser of
+    their weights without what only they hold, is below ``threshold`` times the least that
+    their union can weigh, either's weight and what only the other holds.
     """
-    known = tested.groupBy("tb").agg(F.max_by(F.struct("ta", "similarity"), F.struct("similarity", "ta")).alias("near"))
-    rows = labelled.join(known, F.col("node") == F.col("tb"), "left").select("bucket", "node", "root", "near")
-    other = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "near")])
-    pairs = rows.join(other, "bucket").filter((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")))
-    apart = (F.col("near.ta") == F.col("near2.ta")) & (F.abs(F.col("near.similarity") - F.col("near2.similarity")) > 1 - threshold + 1e-9)
-    return pairs.filter(~F.coalesce(apart, F.lit(False))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    rows = labelled.select("bucket", "node", "root", *(["w", "own"] if profile is not None else []))
+    other = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "bucket"])
+    match = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2"))
+    if profile is not None:
+        most = F.least(F.col("w") - F.col("own"), F.col("w2") - F.col("own2"))
+        match &= most >= (threshold - 1e-6) * F.greatest(F.col("w") + F.col("own2"), F.col("w2") + F.col("own"))
+    joined = rows.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & match)
+    return joined.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

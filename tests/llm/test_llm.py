@@ -191,7 +191,17 @@ def brute_classes(rows, threshold):
     return [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("pairs", [2, 0])
+class Once:
+    """Few pairs are allowed at first, any number then."""
+
+    asked = 0
+
+    def __mul__(self, n):
+        self.asked += 1
+        return 0 if self.asked == 1 else 1e18
+
+
+@pytest.mark.parametrize("pairs", [2, 0, Once()])
 def test_near_duplicates(spark, none, monkeypatch, pairs):
     monkeypatch.setattr(near_dedup, "PAIRS", pairs)
     rng = random.Random(5)
