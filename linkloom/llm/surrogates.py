@@ -56,13 +56,14 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
-    "name": rf"""(?<![^\s(",;:«“'/])(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_KNOWN}) {_NAME})(?!\p{{L}})""",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_KNOWN}) {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to hold any entity but a name, and the words one of which a name needs: cheap to look for.
-HINT = "[0-9@=:]"
-_BREAKS = r"""[\s(",;:«“'/]+"""
-_HEADS = sorted({w for ts in TITLES.values() for t in ts for w in (t, f"{t}.")} | {n for names in GIVEN.values() for n in names})
+HINT = "[0-9@=:]|AKIA"
+# Lookbehinds see half of a character beyond U+FFFF, which is no letter: such characters break words too.
+_BREAKS = r"(?:\P{L}|[\x{10000}-\x{10FFFF}])+"
+_HEADS = sorted({t.split("-")[0] for ts in TITLES.values() for t in ts} | {n for names in GIVEN.values() for n in names})
 MOST_ATTEMPTS = 64
 
 
@@ -246,6 +247,13 @@ def _fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def _mentions(text: Column) -> Column:
+    """All matches of ANY; texts without a hint, which hold none, and nulls have an empty array."""
+    none = F.array().cast("array<string>")
+    hinted = text.rlike(HINT) | F.arrays_overlap(F.split(text, _BREAKS), F.array(*map(F.lit, _HEADS)))
+    return F.coalesce(F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "entities") -> DataFrame:
     """All rows and columns of ``docs``, with surrogates in the text and the replaced entities.
 
@@ -260,9 +268,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_co
     rid, found = _fresh("rid", kept), _fresh("found", kept)
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     text = F.col(f"`{text_col}`").cast("string")
-    hinted = text.rlike(HINT) | F.arrays_overlap(F.split(text, _BREAKS), F.array(*map(F.lit, _HEADS)))
-    mentions = F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn(found, F.coalesce(mentions, F.array().cast("array<string>")))
+    marked = docs.withColumn(found, _mentions(text))
     held = scratch.save(marked.filter(F.size(found) > 0).withColumn(rid, F.monotonically_increasing_id()), "held")
     rest = marked.filter(F.size(found) == 0).drop(found)
 
