@@ -8,7 +8,7 @@ so the savings are nearly free of noise. A text's score is a logistic calibratio
 its windows' savings are spread; the decision threshold is one on that calibrated score.
 
 Fitting reads a bounded sample of labelled rows (TOXIC_ROWS and ORDINARY_ROWS, the first by
-a hash of their id); the calibration is corrected for the true ratio of the labels, which is
+a hash of their id), all of their windows; the calibration is corrected for the true ratio of the labels, which is
 counted over all labelled rows. Scoring reads every window of every text.
 """
 
@@ -26,8 +26,6 @@ from ._scratch import Scratch
 
 #: Labelled rows that fitting reads at most.
 TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
-#: Windows of one text that dictionaries are trained on at most; scores use all windows.
-TRAINING_WINDOWS = 400
 WORDS, STEP = 10, 5
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 112_640
 #: Bytes saved from which a window counts as a hit, and beyond which savings count alike.
@@ -136,7 +134,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     rows = scratch.save(texts, "sample").orderBy(*order).collect()  # at most TOXIC_ROWS + ORDINARY_ROWS
     split = [(windows(r["text"]), int(r["y"] == 1)) for r in rows]
-    kinds = [[w for own, y in split if y == kind for w in own[:TRAINING_WINDOWS]] for kind in (0, 1)]
+    kinds = [[w for own, y in split if y == kind for w in own] for kind in (0, 1)]
     if not all(kinds):
         return base
     model = ToxicityModel(_trained(kinds[0], ORDINARY_BYTES, 32), _trained(kinds[1], TOXIC_BYTES, 16), base.mean, base.scale, base.weights)

@@ -350,6 +350,17 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(none, model).collect() == []
 
 
+def test_toxic_passages_count_wherever_they_stand(spark):
+    """Dictionaries are trained on whole texts: what makes one toxic may come after thousands of ordinary words."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeioutnrs", k=rng.randint(2, 8))) for _ in range(500)]
+    bad = ["zkunvix", "qworplax", "vujkozz"]
+    rows = [(i, " ".join(rng.choices(words, k=2100) + (rng.choices(bad, k=200) if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(24)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert any(b.encode() in model.toxic for b in bad)
+
+
 def test_language_model(spark, none, docs, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 50)
     got = [r for r in hmm.hmm_scores(docs, F.col("doc_id") % 7 != 2).collect()]
