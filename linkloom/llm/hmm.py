@@ -8,8 +8,8 @@ words stay in a table that is joined by shuffle. A document ends with a token of
 
 Training. Words are turned into class ids once. Expected counts of Baum-Welch are summed in
 each partition over all training sequences and then across partitions; the M-step runs on
-the driver over (HEAD + TAIL) * STATES numbers. The first parameters come from a bounded
-sample (START_DOCS documents); every later pass covers all training documents.
+the driver over (HEAD + TAIL) * STATES numbers. The first parameters come from the counts of
+the whole corpus and a keyed hash of the classes; every pass covers all training sequences.
 
 Scoring. The scaled forward recursion gives each document's exact likelihood, many documents
 side by side, one step at a time.
@@ -29,8 +29,7 @@ from ._sums import summed
 from ._text import Words, chunks, mix, signed
 
 HEAD, TAIL, STATES = 1 << 16, 4096, 8
-PASSES = 2
-START_DOCS, START_PASSES = 2000, 12
+PASSES = 14
 #: Tokens that are worked on side by side.
 TOKENS = 1 << 19
 #: Occurrences by which a class's states are drawn to those of all tokens: a rare word says little of its state.
@@ -227,24 +226,15 @@ def _head_count(counts: DataFrame) -> int:
     return least if words > r["k"] else 1 << 62  # not even the largest size fits
 
 
-def _start(sequences: list[np.ndarray], classes: Classes) -> Model:
-    """First parameters: each sampled document begins in one state, then passes over the sample."""
+def _start(classes: Classes) -> Model:
+    """First parameters, alike at any corpus size: half of a class's occurrences are in a state that its keyed
+    hash chooses, the others in all states alike, and states tend to stay."""
     corpus = classes.weights()
-    rng = np.random.default_rng(7)
-    emit = np.zeros((classes.size, STATES))
-    for s in sequences:
-        emit[:, int(rng.integers(STATES))] += np.bincount(s, minlength=classes.size)
-    stay = np.full((STATES, STATES), 2.0) + np.eye(STATES) * 1000
-    m = Model.from_counts(np.ones(STATES), stay, emit, corpus)
-    if not sequences:
-        return m
-    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-    steps = _Steps(np.concatenate(sequences), bounds)
-    for _ in range(START_PASSES):
-        emit, start, move = np.zeros_like(m.emit), np.zeros(STATES), np.zeros((STATES, STATES))
-        steps.counts(m, emit, start, move)
-        m = Model.from_counts(start, move, emit, corpus)
-    return m
+    keys = np.concatenate([classes.hashes, np.arange(1 + TAIL, dtype=np.uint64)])
+    emit = np.repeat(corpus[:, None] / (2 * STATES), STATES, axis=1)
+    emit[np.arange(classes.size), (mix(keys, 7) % np.uint64(STATES)).astype(np.int64)] += corpus / 2
+    stay = np.full((STATES, STATES), 1000.0) + np.eye(STATES) * 500_000
+    return Model.from_counts(np.ones(STATES), stay, emit, corpus)
 
 
 def _pass(encoded: DataFrame, m: Model, classes: Classes) -> Model:
@@ -262,7 +252,9 @@ def _pass(encoded: DataFrame, m: Model, classes: Classes) -> Model:
         parts += [(-1, start.tobytes()), (-2, move.tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "counts"])
 
-    parts = encoded.filter("train").select("ids").mapInArrow(expect, "chunk long, counts binary")
+    # Each task sends tables of one size, so there are no more tasks than cores.
+    tasks = encoded.sparkSession.sparkContext.defaultParallelism
+    parts = encoded.filter("train").select("ids").coalesce(tasks).mapInArrow(expect, "chunk long, counts binary")
     rows = summed(parts, np.float64)
     got = {r["chunk"]: np.frombuffer(bytes(r["counts"])) for r in rows.collect()}  # (HEAD + TAIL) * STATES numbers
     if not got:
@@ -323,8 +315,7 @@ def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     encoded = own.mapInArrow(encode, f"id {kind}, train boolean, ids binary, rare binary").withColumn("row", F.monotonically_increasing_id())
     encoded = scratch.save(encoded, "encoded")
-    sample = encoded.filter("train").select("ids").orderBy(F.xxhash64("ids")).limit(START_DOCS).collect()  # START_DOCS rows
-    model = _start([np.frombuffer(bytes(r["ids"]), np.int32)[-4000:] for r in sample], classes)
+    model = _start(classes)
     for _ in range(passes):
         model = _pass(encoded, model, classes)
     trained = spark.sparkContext.broadcast((model, classes))

@@ -377,6 +377,15 @@ def test_language_model(spark, none, docs, monkeypatch):
     assert all(r.score < 0 for r in got) and hmm.hmm_scores(none, F.lit(True)).collect() == []
 
 
+def test_every_pass_covers_all_training_rows(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hmm, "_pass", lambda encoded, m, classes: seen.append(encoded) or m)
+    hmm.hmm_scores(docs, F.col("doc_id") % 7 != 2)
+    assert len(seen) == hmm.PASSES >= 14 and not hasattr(hmm, "START_DOCS")
+    tokens = seen[0].filter("train").agg(F.sum(F.octet_length("ids") / 4)).first()[0]
+    assert tokens == sum(len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) + 1 for d, t, *_ in corpus() if d is not None and d % 7 != 2)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(0)
     m = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(5), 2).T)
