@@ -117,16 +117,29 @@ def pair_tfidf(pairs: DataFrame, a: str, b: str, name: str = "score") -> DataFra
     return out.withColumn(name, T.cosine(F.col("_va"), F.col("_vb"))).drop("_ta", "_tb", "_both", "_va", "_vb")
 
 
+#: Tokens by which phrases are looked up; longer ones are then compared whole.
+PREFIX = 5
+
+
 def phrase_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(l_id, r_id, start): token sequences of phrases (id, text) that stand in texts (id, text), case-sensitive."""
+    """(l_id, r_id, start): token sequences of phrases (id, text) that stand in texts (id, text), case-sensitive.
+
+    Phrases are found by their first PREFIX tokens, then compared whole. Repeated rows of phrases count once.
+    """
     p = phrases.select(F.col("id").alias("r_id"), T.phrase_tokens(F.col("text")).alias("p")).filter(F.size("p") > 0)
-    p = p.select("r_id", F.size("p").alias("n"), F.array_join("p", "\u0001").alias("key"))
+    p = p.select("r_id", F.size("p").alias("size"), F.least(F.size("p"), F.lit(PREFIX)).alias("n"), F.array_join(F.slice("p", 1, PREFIX), "\u0001").alias("key"), F.array_join("p", "\u0001").alias("whole"))
     lengths = [r[0] for r in p.select("n").distinct().limit(10_000).collect()]
-    t = texts.select(F.col("id").alias("l_id"), T.phrase_tokens(F.col("text")).alias("t"))
+    own = texts.select(F.col("id").alias("l_id"), F.col("text"), F.xxhash64("text").alias("h"))
     if not lengths:
-        return t.join(p, F.lit(False)).select("l_id", "r_id", F.lit(0).alias("start"))
-    rows = t.select("l_id", F.explode(T.let(F.col("t"), lambda t: F.concat(*[_grams(t, n) for n in lengths]))).alias("g")).select("l_id", "g.start", "g.n", "g.key")
-    return rows.join(broadcast_if_small(p), ["n", "key"]).select("l_id", "r_id", "start")
+        return own.join(p, F.lit(False)).select("l_id", "r_id", F.lit(0).alias("start"))
+    grams = T.let(T.phrase_tokens(F.col("text")), lambda t: F.concat(*[_grams(t, n) for n in lengths]))
+    rows = own.select("l_id", "h", F.explode(grams).alias("g")).select("l_id", "h", "g.start", "g.n", "g.key")
+    hits = rows.join(broadcast_if_small(p), ["n", "key"]).select(F.col("l_id").alias("c_id"), F.col("h").alias("c_h"), "r_id", "start", "size", "whole")
+    hits = hits.distinct().groupBy("c_id", "c_h").agg(F.collect_list(F.struct("r_id", "start", "size", "whole")).alias("hits"))
+    again = own.join(hits, F.col("l_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")))
+    same = lambda t: F.filter("hits", lambda c: F.array_join(F.slice(t, c["start"] + 1, c["size"]), "\u0001") == c["whole"])
+    found = again.select("l_id", F.explode(T.let(T.phrase_tokens(F.col("text")), same)).alias("c"))
+    return found.select("l_id", "c.r_id", "c.start")
 
 
 def _grams(t: Column, n: int) -> Column:

@@ -95,8 +95,7 @@ phrases AS (SELECT doc_id, item_id, start FROM hits WHERE t[start + 1 : start +
 
 
 def _phrases(spark, sf):
-    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(T.phrase_tokens(F.col("text")), 1, 5), " ").alias("text"))
-    return similarity.phrase_pairs(_texts(spark, sf), items)
+    return similarity.phrase_pairs(_texts(spark, sf), _texts(spark, sf, "benchmark", "item_id"))
 
 
 @query(f"""WITH {_PHRASE}

@@ -37,6 +37,17 @@ def test_phrases(spark):
     assert sorted(map(tuple, similarity.phrase_pairs(texts, phrases).collect())) == [(1, 7, 1), (1, 7, 5)]
 
 
+def test_passages_are_matched_whole(spark, tmp_path):
+    from linkloom import queries
+
+    passage = "one two three four five, six 7 eight nine"
+    docs = [(1, "one two three four five only"), (2, f"so: {passage}. {passage}"), (3, passage.replace("nine", "ten")), (4, None), (5, passage[:-2]), (None, passage), (6, "x two three"), (6, f"a {passage}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(8, passage), (9, "two three"), (7, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = sorted(((r.l_id or 0, r.r_id, r.start) for r in queries._phrases(spark, str(tmp_path)).collect()))
+    assert pairs == [(0, 8, 0), (0, 9, 1), (1, 9, 1), (2, 8, 2), (2, 8, 13), (2, 9, 3), (2, 9, 14), (3, 9, 1), (5, 9, 1), (6, 8, 1), (6, 9, 1), (6, 9, 2)]
+
+
 def test_votes_and_scores(spark):
     rows = [("e", "s", "a", 2), ("e", "s", "b", 1), ("e", "t", "a", 1)]
     m = spark.createDataFrame(rows, "event string, series string, found_by string, seq int")
