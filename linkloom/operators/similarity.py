@@ -128,7 +128,7 @@ def phrase_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     p = phrases.select(F.col("id").alias("r_id"), T.phrase_tokens(F.col("text")).alias("p")).filter(F.size("p") > 0)
     p = p.select("r_id", F.size("p").alias("size"), F.least(F.size("p"), F.lit(PREFIX)).alias("n"), F.array_join(F.slice("p", 1, PREFIX), "\u0001").alias("key"), F.array_join("p", "\u0001").alias("whole"))
-    lengths = [r[0] for r in p.select("n").distinct().limit(10_000).collect()]
+    lengths = [r[0] for r in p.select("n").distinct().collect()]  # at most PREFIX
     own = texts.select(F.col("id").alias("l_id"), F.col("text"), F.xxhash64("text").alias("h"))
     if not lengths:
         return own.join(p, F.lit(False)).select("l_id", "r_id", F.lit(0).alias("start"))
