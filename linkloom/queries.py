@@ -569,7 +569,10 @@ def classifier_scores(spark, sf):
 
 @query()
 def linked_titles(spark, sf):
-    """The whole linking plan: part names without a parent against the others, by votes."""
+    """Part of the linking plan: part names of even ids against those of odd ids, single votes, without the embedding matcher.
+
+    Pairs within one half are never tried, and the names are distinct, so the exact matcher finds nothing.
+    """
     from .plans import linking
 
     names = _names(spark, sf).withColumns({"qid": F.col("id").cast("string"), "label": F.col("text"), "title": F.col("text"), "part_of_series": F.when(F.col("id") % 2 == 1, "known")})
