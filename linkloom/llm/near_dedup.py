@@ -1,14 +1,13 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF word shingles.
 
 Weights. A document is a weighted set of its runs of five words: term frequency times a
-normalised inverse document frequency, ``1 + ln((1 + n) / (1 + df)) / ln(1 + n)``, from 1
-for a shingle of all documents to 2 for the rarest. (With unbounded idf, a group of
-thousands of copies would make its own text common and its few edits heavy, and so fall
-apart.) Document frequencies of all documents are counted in ``2**DF_BITS`` hashed buckets
-(feature hashing), a table of one size for any corpus: a rare shingle's frequency is
-overstated by the share of shingles in its bucket, about ``shingles per document /
-2**DF_BITS`` of all documents at every size, so frequent lines keep their low weight and
-all rare shingles have nearly one weight.
+normalised inverse document frequency, from 1 for a shingle of all documents to 2 for one of
+at most the share FREQUENT of them. (With unbounded idf, a group of thousands of copies
+would make its own text common and its few edits heavy, and so fall apart.) Frequencies of
+shingles that reach that share are exact: a first pass counts all shingles in ``2**DF_BITS``
+hashed buckets, a second one counts, by shuffle, those whose bucket is heavy enough. The
+table of frequent shingles has at most (shingles per document) / FREQUENT entries, and the
+weights mean the same at any size of corpus.
 
 Candidates. Improved consistent weighted sampling (Ioffe 2010) draws BANDS * ROWS samples a
 text; two texts agree in one with the probability of their weighted Jaccard similarity.
@@ -16,19 +15,22 @@ Texts that agree in all ROWS of a band share a bucket: at similarity 0.8 a pair
 with probability (1 - 0.8**3)**12 = 0.0002.
 
 Verification. Equal texts are one node. In each bucket all members are compared with one
-pivot, the exact weighted Jaccard similarity deciding; linked nodes are one component.
-While buckets that hold several components leave many pairs, two things keep them from being
-compared one by one. The weight of what a text alone holds, of all members of such buckets,
-bounds its similarity with any of them, so a copy with edits beyond the threshold leaves.
-And such buckets get another pivot, the member that alone holds least (in a group of copies,
-that is their original). What is then still in one bucket but in different components, and
-not ruled out by the bound, is compared pair by pair. So no link within a bucket is lost,
-and groups of thousands of copies cost a few comparisons a member.
+pivot, the exact weighted Jaccard similarity deciding; linked nodes are one component. The
+pivot is the member that shares its buckets with the most texts: in a group of copies, the
+one with the fewest edits, and so mostly the same one in all bands. Only buckets that then
+hold several components stay open; those with one pivot are one group. A member leaves if
+what it alone holds of all open texts is over ``1 - threshold`` of its weight, which bounds
+its similarity with any of them. What is left of a group is compared whole, block by block:
+a task gets the texts of two blocks and takes all similarities as one matrix, and returns at
+most one link a text. So no link within a bucket is lost, no pair becomes a row, copies that
+the pivot links cost one comparison each, and only what is neither linked nor ruled out is
+compared with all of its group.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._names import fresh
 from ._repeats import mark, marked
 from ._scratch import Scratch
 from ._sums import summed
@@ -44,11 +47,16 @@ from ._text import Words, chunks, mix, prefix_sums, signed, span_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BITS = 20
-#: Pivots that a bucket gets, and pairs left for each of its rows, before what is left is compared one by one.
-PIVOTS, PAIRS = 6, 2
+#: Share of the documents from which on a shingle's weight is below 2.
+FREQUENT = 1 / 1000
 #: Members of a pivot that one run of rows holds.
 SALTED = 256
+#: Members of a block, about, and their bytes.
+BLOCK, BLOCK_BYTES = 768, 1 << 21
+#: Similarities are sums of floats, in no fixed order.
+ROUNDING = 1e-9
 _DF_CHUNK = 4096
+_RARE, _COLUMNS = 16, 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +92,7 @@ def document_frequencies(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
         seen = np.zeros(1 << DF_BITS, np.int32)
         for b in batches:
             for _, _, data, offsets in chunks(b.column(0)):
-                seen += np.bincount(_bucket(shingles(data, offsets, size)[1]), minlength=1 << DF_BITS).astype(np.int32)
+                np.add.at(seen, _bucket(shingles(data, offsets, size)[1]), 1)
         parts = seen.reshape(-1, _DF_CHUNK)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].astype(np.int64).tobytes() for i in some], pa.binary())], ["chunk", "counts"])
@@ -96,8 +104,44 @@ def document_frequencies(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return out.ravel()
 
 
-def idf_table(frequencies: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(1 + max(n, 1))).astype(np.float32)
+@dataclass
+class Weights:
+    """Inverse document frequencies: those of the frequent shingles, by sorted hash; all others weigh 2."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), 2.0)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.values[at], 2.0)
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """From 1 for df = n to 2 for df of at most FREQUENT * n."""
+    least = FREQUENT * n
+    return 1 + np.log((n + 1) / (np.clip(df, least, n) + 1)) / np.log((n + 1) / (least + 1))
+
+
+def shingle_weights(docs: DataFrame, size: int, n: int) -> Weights:
+    """Weights of the shingles of ``docs`` (text), n documents; repeated texts count as often as they come."""
+    least = max(2, int(np.ceil(FREQUENT * n)))
+    heavy = docs.sparkSession.sparkContext.broadcast(np.packbits(document_frequencies(docs, size) >= least))
+
+    def count(batches):
+        some = np.unpackbits(heavy.value).astype(bool)
+        for b in batches:
+            for _, _, data, offsets in chunks(b.column(0)):
+                h = shingles(data, offsets, size)[1]
+                h, n = np.unique(h[some[_bucket(h)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(h), pa.array(n)], ["h", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = counted.collect()  # at most (shingles per document) / FREQUENT
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Weights(h[order], inverse_frequency(np.array([r["n"] for r in rows], np.float64), max(n, 1))[order])
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -169,7 +213,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame:
                     pivot = (a[upto], salt[upto])
                     for _, _, data, offsets in chunks(b.column(4).slice(upto, 1)):
                         _, ph, count = shingles(data, offsets, size)
-                        pw = count * idf.value[_bucket(ph)].astype(np.float64)
+                        pw = count * idf.value.of(ph)
                         total = pw.sum()
                     upto += 1
                     continue
@@ -181,7 +225,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame:
                 similar = np.zeros(end - upto)
                 for first, last, data, offsets in chunks(b.column(4).slice(upto, end - upto)):
                     row, h, count = shingles(data, offsets, size)
-                    w = count * idf.value[_bucket(h)].astype(np.float64)
+                    w = count * idf.value.of(h)
                     n = last - first
                     own = np.bincount(row, w, n)
                     if len(ph) and len(h):
@@ -218,7 +262,7 @@ def near_duplicate_classes(
     scratch = Scratch(spark, "near")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     nodes = scratch.save(own.select("id", text_node(F.col("text")).alias("node")), "nodes")
-    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(own, size), nodes.count()))
+    idf = spark.sparkContext.broadcast(shingle_weights(own, size, nodes.count()))
 
     def sign(batches):
         seen: set[bytes] = set()  # copies within a task are signed once; the bound is for memory only
@@ -235,14 +279,20 @@ def near_duplicate_classes(
                             seen.add(name)
                 keep = fresh[row]
                 row, h, count = row[keep], h[keep], count[keep]
-                have, drawn = samples(row, h, count * idf.value[_bucket(h)], last - first, bands * rows)
+                have, drawn = samples(row, h, count * idf.value.of(h), last - first, bands * rows)
                 keys = band_keys(drawn, bands, rows)
-                yield pa.RecordBatch.from_arrays([signed(keys.ravel()), pa.array([names[i] for i in have for _ in range(bands)], pa.binary())], ["bucket", "node"])
-
-    signed_rows = scratch.save(own.select("text").mapInArrow(sign, "bucket long, node binary").distinct(), "buckets")
-    shared = signed_rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = scratch.save(signed_rows.join(shared, "bucket").select("bucket", "node"), "shared")
-    scratch.drop("buckets")
+                upto = pa.array(np.arange(len(have) + 1, dtype=np.int32) * bands)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in have], pa.binary()), pa.ListArray.from_arrays(upto, signed(keys.ravel()))], ["node", "keys"])
+
+    signed_rows = scratch.save(own.select("text").mapInArrow(sign, "node binary, keys array<long>").dropDuplicates(["node"]), "signed")
+    members = signed_rows.select("node", F.explode("keys").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = scratch.save(members.join(shared, "bucket"), "shared")
+    scratch.drop("signed")
+    # How many texts share a text's buckets: most for the one with the fewest edits in a group of copies.
+    scores = buckets.groupBy("node").agg(F.sum("n").alias("score"))
+    buckets = scratch.save(buckets.select("bucket", "node").join(scores, "node"), "scored")
+    scratch.drop("shared")
 
     # Texts of the candidates. The bitmap only spares the others the shuffle.
     wanted = buckets.select("node").distinct()
@@ -256,59 +306,131 @@ def near_duplicate_classes(
     texts = own.select(text_node(F.col("text")).alias("node"), "text").withColumn("h", F.xxhash64("node")).mapInArrow(candidates, "node binary, text string, h long").drop("h")
     texts = scratch.save(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    pivots = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = scratch.save(buckets.join(pivots, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs-0")
-    links, tested, profile, tried, last, turn = None, None, None, pivots.select("bucket", "a"), False, 0
-    while True:
-        found = scratch.save(_verify(pairs, texts, idf, size), f"found-{turn}")
-        found = found.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "similarity")
-        tested = found if tested is None else tested.unionByName(found)
-        now = found.filter(F.col("similarity") >= threshold).select(F.col("ta").alias("u"), F.col("tb").alias("v"))
-        links = now if turn == 0 else roots.select("u", F.col("root").alias("v")).unionByName(now)
-        roots = components(links, scratch, f"components-{turn}")
-        if last:
-            break  # all pairs that were left are compared
-        turn += 1
-        # Buckets that hold several components; a node without links is a component of its own.
-        labelled = buckets.join(roots, F.col("node") == F.col("u"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        several = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y")
-        labelled = scratch.save(labelled.join(several.select("bucket", "m"), "bucket"), f"open-{turn}")
-        size_of = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.max("m").alias("m"))
-        cross = size_of.agg(F.sum(F.col("k") * (F.col("m") - F.col("k"))).cast("double") / 2).first()[0]
-        if not cross:
-            break
-        known = tested.select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-        known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        many = cross > PAIRS * buckets.count()
-        if many and profile is None:
-            profile = scratch.save(_profile(labelled, texts, idf, size), "profile")
-        if profile is not None:
-            # What no other member of an open bucket holds bounds a text's similarity with all of
-            # them. Buckets only close, so the members of the first turn stay all there are.
-            labelled = labelled.join(profile.filter(F.col("w") - F.col("own") >= (threshold - 1e-6) * F.col("w")), "node")
-            if many and turn <= PIVOTS:
-                done = tried.select("bucket", F.col("a").alias("node"))
-                best = labelled.join(done, ["bucket", "node"], "left_anti").groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("own") / F.col("w"), F.col("node"))).alias("p"))
-                pivots = scratch.save(best.select("bucket", F.col("p.node").alias("a"), F.col("p.root").alias("a_root")), f"pivots-{turn}")
-                tried = tried.unionByName(pivots.select("bucket", "a"))
-                pairs = labelled.join(pivots, "bucket").filter("root <> a_root").select("a", F.col("node").alias("b")).distinct()
-                pairs, last = scratch.save(pairs.join(known, ["a", "b"], "left_anti"), f"pairs-{turn}"), False
-                continue
-        pairs, last = scratch.save(_remaining(labelled, profile, threshold).join(known, ["a", "b"], "left_anti"), f"pairs-{turn}"), True
-        if pairs.isEmpty():
-            break
+    pivots = buckets.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("a"))
+    paired = buckets.join(pivots, "bucket")
+    pairs = scratch.save(paired.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = scratch.save(_verify(pairs, texts, idf, size).filter(F.col("similarity") >= threshold - ROUNDING), "links")
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "components")
     labelled = nodes.join(roots, F.col("node") == F.col("u"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    # A node without links is a component of its own.
+    groups = _several(paired.select("bucket", "a", "node").join(roots, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("root", "node")), "bucket")
+    groups = scratch.save(groups.select("a", "node", "root").distinct(), "open")
+    if not groups.isEmpty():
+        profile = scratch.save(_profile(groups, texts, idf, size), "profile")
+        groups = scratch.save(_several(groups.join(profile.filter(F.col("own") <= (1 - threshold + ROUNDING) * F.col("w")).select("node"), "node"), "a"), "groups")
+        edges = scratch.save(_compared(groups, texts, idf, size, threshold), "edges")
+        merged = components(edges, scratch, "merged").select(F.col("u").alias("old"), F.col("root").alias("new"))
+        labelled = labelled.join(merged, F.col("root") == F.col("old"), "left").select("id", "node", F.coalesce("new", "root").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes, "root").select("id", "class_id", "node", "class_size")
 
 
-def _profile(labelled: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame:
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of the keys that hold several components."""
+    some = rows.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(key)
+    return rows.join(some, key)
+
+
+def _compared(groups: DataFrame, texts: DataFrame, idf, size: int, threshold: float) -> DataFrame:
+    """(u, v): roots that a link of two members of a group joins. groups: a, node, root; texts: node, text.
+
+    A group is dealt out in blocks, and each pair of blocks is one unit of work; a member
+    goes to as many as its group has blocks.
+    """
+    members = groups.join(texts, "node")
+    sizes = members.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "a").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("a", "root", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "text")
+
+    def links(roots: list[bytes], parts: list[pa.Array]):
+        names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        root = np.array([names[r] for r in roots])
+        if len(names) < 2:
+            return
+        row, h, count = _shingled(parts, size)
+        linked = similarities(row, h, count, idf.value.of(h), len(roots)) >= threshold - ROUNDING
+        linked |= root[:, None] == root
+        label = np.arange(len(roots))
+        while True:
+            least = np.where(linked, label, len(roots)).min(1)
+            if (least == label).all():
+                break
+            label = least
+        pairs = {(roots[i], roots[j]) for i, j in enumerate(label) if root[i] != root[j]}
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], ["u", "v"])
+
+    def compare(batches):
+        key, roots, parts = None, [], []
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for x, y in zip([0, *cuts], [*cuts, len(keys)]):
+                if keys[x] != key:
+                    if roots:
+                        yield from links(roots, parts)
+                    key, roots, parts = keys[x], [], []
+                roots += b.column(3).slice(x, y - x).to_pylist()
+                parts.append(b.column(4).slice(x, y - x))
+        if roots:
+            yield from links(roots, parts)
+
+    return rows.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(compare, "u binary, v binary").distinct()
+
+
+def _shingled(parts: list[pa.Array], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingles() of several columns, rows numbered through."""
+    out, base = [], 0
+    for part in parts:
+        for first, _, data, offsets in chunks(part):
+            row, h, count = shingles(data, offsets, size)
+            out.append((row + base + first, h, count))
+        base += len(part)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def similarities(row: np.ndarray, h: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of n rows, n by n; rows without shingles have 0.
+
+    A shingle that comes k times counts as k items, so that shared weight is a sum over shared items.
+    """
+    total = np.bincount(row, count * idf, n)
+    times = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    item = mix(np.repeat(h, count) + mix(times.astype(np.uint64), 11))
+    own, weight = np.repeat(row, count), np.repeat(idf, count)
+    order = np.argsort(item, kind="stable")
+    item, own, weight = item[order], own[order], weight[order]
+    head = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(head, len(item)))
+    common = np.repeat(sizes > _RARE, sizes)
+    shared = np.zeros(n * n)
+    rare_item, rare_own, rare_weight = item[~common], own[~common], weight[~common]
+    for step in range(1, _RARE):
+        same = np.flatnonzero(rare_item[:-step] == rare_item[step:])
+        if not len(same):
+            break
+        shared += np.bincount(rare_own[same] * n + rare_own[same + step], rare_weight[same], n * n)
+    shared = shared.reshape(n, n)
+    shared += shared.T
+    columns = np.repeat(np.arange((sizes > _RARE).sum()), sizes[sizes > _RARE])
+    own, weight = own[common], weight[common]
+    for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, _COLUMNS):
+        x, y = np.searchsorted(columns, [first, first + _COLUMNS])
+        table = np.zeros((n, _COLUMNS))
+        table[own[x:y], columns[x:y] - first] = np.sqrt(weight[x:y])
+        shared += table @ table.T
+    union = total[:, None] + total - shared
+    return np.where(union > 0, shared / np.maximum(union, 1e-300), 0.0)
+
+
+def _profile(groups: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame:
     """(node, w, own): a text's weight, and the weight of its shingles that no other of these texts holds.
 
     Which shingles several texts hold is kept in a bitmap; shared bits can only make ``own``
     smaller, so what is derived from it stays a bound.
     """
-    open_texts = texts.join(labelled.select("node").distinct(), "node", "left_semi")
+    open_texts = texts.join(groups.select("node").distinct(), "node", "left_semi")
 
     def names(batches):
         for b in batches:
@@ -322,30 +444,13 @@ def _profile(labelled: DataFrame, texts: DataFrame, idf, size: int) -> DataFrame
         for b in batches:
             for first, last, data, offsets in chunks(b.column(1)):
                 row, h, count = shingles(data, offsets, size)
-                w = count * idf.value[_bucket(h)].astype(np.float64)
+                w = count * idf.value.of(h)
                 n = last - first
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.bincount(row, w, n)), pa.array(np.bincount(row, np.where(marked(bits.value, h), 0.0, w), n))], ["node", "w", "own"])
 
     return open_texts.mapInArrow(weigh, "node binary, w double, own double")
 
 
-def _remaining(labelled: DataFrame, profile: DataFrame | None, threshold: float) -> DataFrame:
-    """Pairs in one bucket but in different components that may still be linked.
-
-    With profiles, a pair is skipped where the most that two texts can share, the lesser of
-    their weights without what only they hold, is below ``threshold`` times the least that
-    their union can weigh, either's weight and what only the other holds.
-    """
-    rows = labelled.select("bucket", "node", "root", *(["w", "own"] if profile is not None else []))
-    other = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "bucket"])
-    match = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2"))
-    if profile is not None:
-        most = F.least(F.col("w") - F.col("own"), F.col("w2") - F.col("own2"))
-        match &= most >= (threshold - 1e-6) * F.greatest(F.col("w") + F.col("own2"), F.col("w2") + F.col("own"))
-    joined = rows.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & match)
-    return joined.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, all columns, without those that have an earlier near duplicate.
 
@@ -354,7 +459,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
     out = classes.filter(F.col("id").isNotNull() & (F.col("id") != F.col("class_id")) | F.col("id").isNull() & F.col("class_id").isNotNull())
-    gone = out.select(F.col("id").alias("_near_id"), F.col("node").alias("_near_node")).distinct()
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (text_node(F.col(text_col).cast("string")) == F.col("_near_node"))
+    near_id, near_node = fresh("near_id", docs.columns), fresh("near_node", docs.columns)
+    gone = out.select(F.col("id").alias(near_id), F.col("node").alias(near_node)).distinct()
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(near_id)) & (text_node(F.col(f"`{text_col}`").cast("string")) == F.col(near_node))
     return docs.join(gone, match, "left_anti")
-

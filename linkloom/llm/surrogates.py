@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._names import fresh
 from ._scratch import Scratch
 
 # Given names by script and gender.
@@ -240,13 +241,6 @@ def _assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts")
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    lower = {c.lower() for c in taken}
-    while name.lower() in lower:
-        name += "_"
-    return name
-
-
 def _mentions(text: Column) -> Column:
     """All matches of ANY; texts without a hint, which hold none, and nulls have an empty array."""
     none = F.array().cast("array<string>")
@@ -265,7 +259,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_co
     """
     scratch = Scratch(docs.sparkSession, "surrogates")
     kept = [c for c in docs.columns if c != entities_col]
-    rid, found = _fresh("rid", kept), _fresh("found", kept)
+    rid, found = fresh("rid", kept), fresh("found", kept)
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     text = F.col(f"`{text_col}`").cast("string")
     marked = docs.withColumn(found, _mentions(text))

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -170,11 +171,14 @@ def test_two_fit_replaces_the_smallest():
     assert used == {n: c for n, c in histogram.items() if c}
 
 
-def brute_classes(rows, threshold):
-    sets = []
+def weighted_classes(rows, threshold):
+    """Components over all pairs, by weighted Jaccard similarity of counted shingles."""
+    bags = []
     for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0d]+", t or "")
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        w = (t or "").split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(x for bag in bags for x in bag)
+    idf = {x: 2.0 if n < 2 else float(near_dedup.inverse_frequency(np.array([n]), len(rows))[0]) for x, n in df.items()}
     parent = list(range(len(rows)))
 
     def find(x):
@@ -182,44 +186,52 @@ def brute_classes(rows, threshold):
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
+    for i, a in enumerate(bags):
         for j in range(i):
-            a, b = sets[i], sets[j]
-            if (rows[i][1] or "") == (rows[j][1] or "") or (a | b and len(a & b) / len(a | b) >= threshold):
+            b = bags[j]
+            most = sum(max(a[x], b[x]) * idf[x] for x in a | b)
+            if (rows[i][1] or "") == (rows[j][1] or "") or most and sum(min(a[x], b[x]) * idf[x] for x in a & b) / most >= threshold:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(rows))]
 
 
-class Once:
-    """Few pairs are allowed at first, any number then."""
-
-    asked = 0
-
-    def __mul__(self, n):
-        self.asked += 1
-        return 0 if self.asked == 1 else 1e18
-
-
-@pytest.mark.parametrize("pairs", [2, 0, Once()])
-def test_near_duplicates(spark, none, monkeypatch, pairs):
-    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+@pytest.mark.parametrize("block", [768, 4])
+def test_near_duplicates(spark, none, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(300)]
     rows = []
-    for i in range(30):
+    for i in range(60):  # from plain copies to such as are linked to few or none of the others
         w = list(base)
-        for _ in range(i % 4):  # at most 15 of 296 shingles change a copy
+        for _ in range(i % 12):
             w[rng.randrange(300)] = f"z{rng.randint(0, 9999)}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(f"v{rng.randint(0, 99999)}" for _ in range(50))) for i in range(10)]
-    rows += [(200, None), (201, ""), (202, "one two"), (203, "one two"), (203, "one two")]
-    got = {r.id: r.class_id for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_classes(rows, 0.8)
+    rows += [(200, None), (201, ""), (202, "one two"), (203, "one two"), (203, "one two"), (204, "a b c d e " * 40), (205, "a b c d e " * 45), (206, "a b c d e " * 90)]
+    names = "doc_id long, text string, near_id int, near_node string, node string, _near_id int, root int, h long"
+    docs = spark.createDataFrame([(*r, 1, "n", "x", 1, 1, 1) for r in rows], names)
+    got = {r.id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()}
+    want = weighted_classes(rows, 0.8)
     assert got == {d: rows[want[i]][0] for i, (d, _) in enumerate(rows)}
-    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted({r.doc_id for r in kept}) == [0, *range(100, 110), 200, 202]
-    assert near_dedup.near_duplicate_classes(none).collect() == []
+    assert len({got[i] for i in range(60)}) > 2 and got[205] == 204 and got[206] == 206
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(got.values()) - {201} | ({201} & set(got.values()))) and kept[0]._near_id == 1
+    assert near_dedup.near_duplicate_classes(none).collect() == [] and near_dedup.drop_near_duplicates(none).collect() == []
+
+
+def test_similarities_of_a_block():
+    rng = random.Random(12)
+    bags = [Counter(rng.choices(range(60), k=rng.randint(0, 40))) for _ in range(50)]
+    idf = {x: 1 + rng.random() for x in range(60)}
+    rows = [(i, x, n) for i, b in enumerate(bags) for x, n in sorted(b.items())]
+    row, h, count = (np.array(c) for c in zip(*rows))
+    got = near_dedup.similarities(row, h.astype(np.uint64), count, np.array([idf[x] for x in h]), len(bags))
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            most = sum(max(a[x], b[x]) * idf[x] for x in a | b)
+            if i != j:
+                assert abs(got[i, j] - (sum(min(a[x], b[x]) * idf[x] for x in a & b) / most if most else 0)) < 1e-9
 
 
 def test_samples_agree_like_weighted_jaccard():
