@@ -22,7 +22,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: Bytes of text handled at once; a longer document is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
