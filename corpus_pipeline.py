@@ -15,13 +15,9 @@ from linkloom.llm._scratch import Scratch
 from linkloom.llm.decontam import drop_contaminated
 from linkloom.llm.near_dedup import drop_near_duplicates
 from linkloom.llm.packing import pack_documents
-from linkloom.llm.surrogates import pseudonymised
+from linkloom.llm.surrogates import pseudonymised, surrogate_key
 from linkloom.llm.toxicity import drop_toxic, fit_toxicity
 
-#: Key of the surrogates; a release has its own.
-SURROGATE_KEY = "corpus-release-1"
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; learns from the labelled documents whose crc32 mod 3 is not 1."""
     learn_from = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
@@ -42,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars is counted anew where a text changed."""
     kind = docs.schema["n_chars"].dataType
-    out = pseudonymised(docs, SURROGATE_KEY, entities_col="entities")
+    out = pseudonymised(docs, surrogate_key(spark), entities_col="entities")
     n_chars = F.when(F.size("entities") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -19,7 +19,7 @@ from .near_dedup import near_duplicate_classes
 from .decontam import contaminated
 from .decontam import oracle_sql as _decontam_sql
 
-from .surrogates import pseudonymised
+from .surrogates import pseudonymised, surrogate_key
 
 from .toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
@@ -70,8 +70,8 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymised(_read(spark, sf_dir, "documents"), key="corpus-release-1")
-    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+    out = pseudonymised(_read(spark, sf_dir, "documents"), key=surrogate_key(spark))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_distinct("entities.type").alias("types"))
 
 
 def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,19 @@ surrogate with and without a given name. Distinctness: surrogates of all distinc
 of the corpus are checked against each other and against the real entities; whoever loses a
 collision draws again with the next attempt until none is left. Only the distinct entities
 and the documents that hold any are ever shuffled.
+
+Limits. Names are found after a title or a listed given name, and their surnames then also
+bare, anywhere in the same text; a text that only has untitled names with other given names
+keeps them. Addresses of 192.168.* that find no free one of their own (the range has 65,025)
+get one of 10.*; a type whose space is more than half full of real entities (10.*: over
+8 million) ends in an error after MOST_ATTEMPTS.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._names import fresh
@@ -138,7 +144,8 @@ def _surrogate(key: str, attempt: int) -> Column:
     iban = F.concat(land, F.lpad((98 - _mod97(F.concat(bban, land, F.lit("00")))).cast("string"), 2, "0"), bban)
     octets = [_byte(stream, 0) % 100 + 20, *[_byte(stream, i) % 254 + 1 for i in (1, 2, 3)]]
     ip = F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets[1:]]))
-    ip = ip.when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *[o.cast("string") for o in octets[2:]]))
+    near = [F.lit("192.168"), *[o.cast("string") for o in octets[2:]]] if attempt < 8 else [F.lit("10"), *[o.cast("string") for o in octets[1:]]]
+    ip = ip.when(canon.startswith("192.168."), F.concat_ws(".", *near))
     ip = ip.otherwise(F.concat_ws(".", *[o.cast("string") for o in octets]))
     # A domain's surrogate hangs on the domain alone; its last label stays.
     domain, local = F.substring_index(canon, "@", -1), F.substring_index(canon, "@", 1)
@@ -176,7 +183,7 @@ def _canon(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"[^0-9]", "")
     return (
         F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits)).otherwise(mention)
+        .when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise("+1"), digits)).otherwise(mention)
     )
 
 
@@ -207,6 +214,7 @@ def _parts(kind: Column, mention: Column) -> Column:
 def _rendered(kind: Column, mention: Column, first: Column, second: Column) -> Column:
     """The mention's notation with the surrogates of its entities."""
     places = F.regexp_replace(first, r"[^0-9A-Z]", "")
+    places = F.right(places, F.length(F.regexp_replace(mention, r"[^0-9A-Z]", "")))  # a phone number without its country code
 
     def swap(i: Column) -> Column:
         c = F.substring(mention, i, F.lit(1))
@@ -227,8 +235,9 @@ def _assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(type, canon, surrogate): distinct within a type, and never an entity that the corpus itself holds."""
     real = entities.select("type", F.col("canon").alias("surrogate"))
     done, todo = None, entities
+    tasks = entities.sparkSession.sparkContext.defaultParallelism * 4
     for attempt in range(MOST_ATTEMPTS):
-        drawn = todo.withColumn("surrogate", _surrogate(key, attempt))
+        drawn = todo.repartition(tasks, "type", "canon").withColumn("surrogate", _surrogate(key, attempt))
         taken = real if done is None else real.unionByName(done.select("type", "surrogate"))
         first = drawn.groupBy("type", "surrogate").agg(F.min("canon").alias("winner"))
         judged = drawn.join(first, ["type", "surrogate"]).join(taken.distinct().withColumn("taken", F.lit(True)), ["type", "surrogate"], "left")
@@ -248,6 +257,22 @@ def _mentions(text: Column) -> Column:
     return F.coalesce(F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of the surrogates: ``spark.linkloom.surrogates.key``; without it, one that is no secret, for trials."""
+    return spark.conf.get("spark.linkloom.surrogates.key", "trial")
+
+
+def _surnames(found: Column) -> Column:
+    """The surnames of the names among a text's mentions."""
+    names = F.filter(found, lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
+    return F.array_distinct(F.transform(names, lambda m: F.substring_index(m, " ", -1)))
+
+
+def _pattern(surnames: Column) -> Column:
+    """ANY, and the surnames as words of their own; names hold letters and hyphens only."""
+    return F.when(F.size(surnames) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(f"{ANY}|(?<!\\p{{L}})(?:"), F.array_join(surnames, "|"), F.lit(r")(?!\p{L})")))
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "entities") -> DataFrame:
     """All rows and columns of ``docs``, with surrogates in the text and the replaced entities.
 
@@ -259,15 +284,17 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_co
     """
     scratch = Scratch(docs.sparkSession, "surrogates")
     kept = [c for c in docs.columns if c != entities_col]
-    rid, found = fresh("rid", kept), fresh("found", kept)
+    rid, found, bare = fresh("rid", kept), fresh("found", kept), fresh("bare", kept)
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     text = F.col(f"`{text_col}`").cast("string")
     marked = docs.withColumn(found, _mentions(text))
-    held = scratch.save(marked.filter(F.size(found) > 0).withColumn(rid, F.monotonically_increasing_id()), "held")
+    held = marked.filter(F.size(found) > 0).withColumn(bare, _surnames(F.col(found)))
+    held = held.withColumn(found, F.when(F.size(bare) == 0, F.col(found)).otherwise(F.regexp_extract_all(text, _pattern(F.col(bare)), F.lit(0))))
+    held = scratch.save(held.withColumn(rid, F.monotonically_increasing_id()), "held")
     rest = marked.filter(F.size(found) == 0).drop(found)
 
-    rows = held.select(F.col(rid).alias("rid"), F.posexplode(found).alias("pos", "mention"))
-    rows = rows.withColumn("type", _type(F.col("mention"))).withColumn("parts", _parts(F.col("type"), F.col("mention")))
+    rows = held.select(F.col(rid).alias("rid"), F.col(bare).alias("bare"), F.posexplode(found).alias("pos", "mention"))
+    rows = rows.withColumn("type", F.when(F.array_contains("bare", F.col("mention")), "name").otherwise(_type(F.col("mention")))).withColumn("parts", _parts(F.col("type"), F.col("mention")))
     entities = scratch.save(rows.select(F.explode("parts").alias("e")).select("e.type", "e.canon").distinct(), "entities")
     assigned = scratch.save(_assigned(entities, key, scratch), "assigned")
     # Distinct mentions are rendered once; then each document gets its own back.
@@ -276,11 +303,11 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", entities_co
         part = F.get("parts", i)
         one = assigned.select(F.col("type").alias(f"t{i}"), F.col("canon").alias(f"c{i}"), F.col("surrogate").alias(name))
         distinct = distinct.join(one, (part["type"] == F.col(f"t{i}")) & (part["canon"] == F.col(f"c{i}")), "left").drop(f"t{i}", f"c{i}")
-    distinct = distinct.withColumn("surrogate", _rendered(F.col("type"), F.col("mention"), F.col("first"), F.col("second"))).select("mention", "surrogate")
-    swapped = rows.select("rid", "pos", "type", "mention").join(scratch.save(distinct, "mentions"), "mention")
+    distinct = distinct.withColumn("surrogate", _rendered(F.col("type"), F.col("mention"), F.col("first"), F.col("second"))).select("type", "mention", "surrogate")
+    swapped = rows.select("rid", "pos", "type", "mention").join(scratch.save(distinct, "mentions"), ["type", "mention"])
     swapped = swapped.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "mention", "surrogate"))).alias("swapped"))
     swapped = swapped.select(F.col("rid").alias(rid), F.transform("swapped", lambda x: F.struct(x["type"].alias("type"), x["mention"].alias("mention"), x["surrogate"].alias("surrogate"))).alias(found))
-    gaps = F.split(text, ANY, -1)
+    gaps = F.split(text, _pattern(F.col(bare)), -1)
     new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(f"{found}.surrogate"), i), F.lit("")))), "")
     held = held.drop(found).join(swapped, rid).withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in kept], F.col(found).alias(entities_col))
     none = F.array().cast("array<struct<type:string,mention:string,surrogate:string>>")

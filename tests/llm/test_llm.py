@@ -1,5 +1,6 @@
 """The operators against brute-force versions, and on null, empty, repeated and clashing rows."""
 
+import itertools
 import random
 import re
 import zlib
@@ -283,6 +284,27 @@ def test_masks_survive_two_substitutions():
             assert any(not {a, b} & {s + i for i in m} for m in decontam.MASKS for s in range(13 - m[-1]))
 
 
+def test_short_items_with_substitutions(spark):
+    """Every variant of an item of up to 14 tokens with as many substitutions as may be, and none with one more."""
+    texts, items, want = [], [], set()
+    for n in range(1, 15):
+        item = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        may = decontam.SUBSTITUTIONS if n >= decontam.WINDOW else decontam.allowed(n)
+        for k in range(may + 2):
+            for places in itertools.combinations(range(n), k):
+                near = [f"z{j}" if j in places else w for j, w in enumerate(item)]
+                equal = max(sum(j not in places for j in range(i, i + min(13, n))) for i in range(max(1, n - 12)))
+                if equal >= min(13, n) - may:
+                    want.add((len(texts), n))
+                texts.append((len(texts), " ".join(["a", "b", *near, "c"])))
+    names = "doc_id long, text string, gone int, key string, item_id int"
+    docs = spark.createDataFrame([(*t, 1, "k", 5) for t in texts], names)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {i for i, _ in texts} - {i for i, _ in want}
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10
 
@@ -315,6 +337,19 @@ def test_surrogates(spark, none):
     assert surrogates.pseudonymised(none, "key").collect() == []
 
 
+def test_surrogates_corefer(spark):
+    """Bare surnames go with the name, and a number keeps its surrogate with and without the country code."""
+    texts = ["Mr. Kenji Watanabe met Watanabe and Dr. Watanabe, not Watanabes.", "Call +1 (656) 555-6510 or (656) 555-6510.", "Watanabe alone", "Mrs. Anna-Maria Orr; Orr! Orr", "long " * 30_000 + "Mr. Orr and Orr", "Mr. Orr", "Mr. Orr"]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "e") for i, t in enumerate(texts)], "doc_id long, text string, bare int, rid int, mention int, entities string")
+    got = {r.doc_id: r for r in surrogates.pseudonymised(docs, "key").collect()}
+    first = re.fullmatch(r"Mr\. (\w+) (\w+) met (\w+) and Dr\. (\w+), not Watanabes\.", got[0].text)
+    assert len({first[2], first[3], first[4]}) == 1 and first[2] not in ("Watanabe", first[1])
+    numbers = re.fullmatch(r"Call \+1 (\(\d{3}\) \d{3}-\d{4}) or (.*)\.", got[1].text)
+    assert numbers[1] == numbers[2] != "(656) 555-6510" and got[2].text == texts[2]
+    orr = re.fullmatch(r"Mrs\. \S+ (\w+); (\w+)! (\w+)", got[3].text)
+    assert len(set(orr.groups())) == 1 and got[4].text == "long " * 30_000 + f"Mr. {orr[1]} and {orr[1]}" and got[5].text == got[6].text == f"Mr. {orr[1]}"
+
+
 def test_surrogates_stay_distinct(spark):
     """Six given names of one surname share a pool; all get names of their own."""
     names = [f"Mr. {g} Smith" for g in surrogates.GIVEN["latin", "m"]] + [f"10.0.0.{i}" for i in range(250)]
