@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 #: Joins, similarity, text functions, aggregation and lookups; the rest of the registry is timed by name on request.
 HEADLINE = (
     "containment_match", "phrase_match_top1", "ngram_dice_top1", "ngram_dice_grid", "extract_acronyms", "event_from_title",
-    "normalised_text", "html_structure", "patched_items", "vote_merge", "prefix_children", "ranked_rule_resolution", "same_time_join", "titles_of_ids", "mean_vector",
+    "normalised_text", "html_structure", "patched_items", "vote_merge", "prefix_children", "ranked_rule_resolution", "same_time_join", "titles_of_ids", "mean_vector", "tfidf_top1", "word_trigram_jaccard", "event_pages", "series_pages",
 )
 
 

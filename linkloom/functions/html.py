@@ -1,7 +1,7 @@
 """Extraction from HTML that isn't well formed: Arrow-batched functions over the standard event parser.
 
 A page that can't be read gives null (or false), never an error. Elements are kept in a
-light tree, so each extractor reads the page once.
+light tree; ``page`` reads a page once for all that is extracted from it.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+
+from . import text as T
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -71,11 +73,11 @@ def tree(html: str) -> Node:
 
 
 def _safe(f, default=None):
-    def run(html):
-        if html is None:
+    def run(root):
+        if root is None:
             return default
         try:
-            return f(tree(html))
+            return f(root)
         except (AttributeError, KeyError, ValueError, IndexError, StopIteration):
             return default
 
@@ -130,7 +132,8 @@ def _header_id(root: Node):
     stream = head.attrs.get("data-stream") or ""
     if stream.startswith("conf/"):
         return stream
-    return re.sub(r"/index\.html$|/index$", "", head.attrs["data-bhtkey"].removeprefix("db/"))
+    key = (head.attrs.get("data-bhtkey") or "").removeprefix("db/").removesuffix("/index")
+    return key if key.startswith("conf/") else None
 
 
 def _mentioned(root: Node):
@@ -138,7 +141,8 @@ def _mentioned(root: Node):
     return [h.text().strip() for c in main.children if isinstance(c, Node) and c.tag == "header" for h in c.children if isinstance(h, Node) and h.tag == "h2"]
 
 
-RELATIONS = ("has part", "is part of", "predecessor", "successor", "related", "not to be confused with", "status", "access")
+# Relations of the venue box, alphabetically.
+RELATIONS = ("access", "has part", "is part of", "not to be confused with", "predecessor", "related", "status", "successor")
 
 
 def _venue(root: Node):
@@ -155,7 +159,7 @@ def _venue(root: Node):
         own = "".join(c if isinstance(c, str) else "" for c in li.children).strip(" :")
         for relation in RELATIONS:
             if relation in said:
-                out.append({"relation": relation, "name": a.text().strip() if a else own, "reference": _page_id(a.attrs.get("href", "")) if a else None, "text": li.text().strip()})
+                out.append({"relation": relation, "name": a.text().strip() if a else own, "reference": _page_id(a.attrs.get("href", "")) if a else None, "label": em.text().strip(), "text": li.text().strip()})
     return out
 
 
@@ -175,62 +179,101 @@ def _redirect(root: Node):
     return _page_id(root.first("a").attrs["href"])
 
 
-def _applied(f, kind: str, html, default=None):
-    run = _safe(f, default)
+def _title(root: Node):
+    return root.first("title").text().strip()
 
-    def column(values: pd.Series) -> pd.Series:
-        return values.map(run)
 
-    return F.pandas_udf(column, kind, PandasUDFType.SCALAR)(html)
+_ITEM = pa.struct([(n, pa.string()) for n in ("relation", "name", "reference", "label", "text")])
+_FIELDS = {
+    "title": (_title, pa.string()), "headline": (_headline, pa.string()), "items": (_items, pa.list_(pa.string())), "links": (_links, pa.list_(pa.string())),
+    "parents": (_parents, pa.list_(pa.struct([("dblp_id", pa.string()), ("name", pa.string())]))), "is_series": (_is_series, pa.bool_()),
+    "id": (_header_id, pa.string()), "headers": (_mentioned, pa.list_(pa.string())), "venue": (_venue, pa.list_(_ITEM)),
+    "volume_title": (_volume_title, pa.string()), "index": (_index_links, pa.list_(pa.string())), "redirect": (_redirect, pa.string()),
+}
+_SCHEMA = "title string, headline string, items array<string>, links array<string>, parents array<struct<dblp_id:string,name:string>>, is_series boolean, id string, headers array<string>, venue array<struct<relation:string,name:string,reference:string,label:string,text:string>>, volume_title string, index array<string>, redirect string"
 
 
-def _title(root: Node):
-    return root.first("title").text().strip()
+def _read(html: str | None) -> dict:
+    root = None
+    if html is not None:
+        try:
+            root = tree(html)
+        except (AssertionError, ValueError):
+            pass
+    return {name: _safe(f, False if name == "is_series" else None)(root) for name, (f, _) in _FIELDS.items()}
 
 
-def headline(html):
-    return _applied(_headline, "string", html)
+def page(html: Column) -> Column:
+    """All that is extracted from a page, as one struct; the page is parsed once."""
+    kind = pa.struct([(name, k) for name, (_, k) in _FIELDS.items()])
 
+    def read(values: pa.Array) -> pa.Array:
+        return pa.array([_read(v) for v in values.to_pylist()], kind)
 
-def page_title(html):
-    return _applied(_title, "string", html)
+    read.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, _SCHEMA)(html)
 
 
-def links(html):
-    return _applied(_links, "array<string>", html)
+def event(page: Column, id: Column | None = None) -> Column:
+    """(dblp_id, title, year, location, ordinal) of an event's page; null without a headline."""
+    e = T.event_from_title(page["headline"])
+    out = F.struct((page["id"] if id is None else id).alias("dblp_id"), *[e[c].alias(c) for c in ("title", "year", "location", "ordinal")])
+    return F.when(page["headline"].isNotNull(), out)
 
 
-def list_items(html):
-    return _applied(_items, "array<string>", html)
+def _related(page: Column, relation: str, extra) -> Column:
+    """(name, reference, ...) of the venue box's items of a relation."""
+    own = F.filter(page["venue"], lambda v: v["relation"] == relation)
+    return F.transform(own, lambda v: F.struct(v["name"].alias("name"), v["reference"].alias("reference"), *extra(v)))
 
 
-def breadcrumb_parents(html):
-    return _applied(_parents, "array<struct<dblp_id:string,name:string>>", html)
+def _years(v: Column) -> Column:
+    return F.when(F.contains(v["label"], F.lit("(")), T.year_range(v["label"]))
 
 
-def is_series_page(html):
-    return _applied(_is_series, "boolean", html, False)
+def venue_information(page: Column) -> Column:
+    """The venue box by relation; null without one. Years, qualifier and merger are said in brackets after the relation."""
+    years = lambda v: [_years(v).alias("years")]
+    merged = lambda v: F.contains(v["label"], F.lit("(")) & F.contains(v["label"], F.lit("merged into"))
+    status = F.filter(page["venue"], lambda v: v["relation"] == "status")
+    access = F.filter(page["venue"], lambda v: v["relation"] == "access")
+    out = F.struct(
+        F.exists(access, lambda v: F.contains(v["text"], F.lit("some or all publications openly available"))).alias("open_access"),
+        _related(page, "has part", years).alias("has_part"), _related(page, "is part of", years).alias("is_part_of"),
+        _related(page, "not to be confused with", lambda v: []).alias("not_to_be_confused_with"), _related(page, "predecessor", years).alias("predecessor"),
+        _related(page, "related", lambda v: [T.relation_qualifier(v["label"]).alias("qualifier")]).alias("related"),
+        T.discontinuation_year(F.get(status, 0)["text"]).alias("discontinued"),
+        _related(page, "successor", lambda v: [F.when(~merged(v), _years(v)).alias("years"), merged(v).alias("merged_into")]).alias("successor"),
+    )
+    return F.when(F.size(page["venue"]) > 0, out)
 
 
-def header_id(html):
-    return _applied(_header_id, "string", html)
+def series(page: Column) -> Column:
+    """(dblp_id, name, abbreviation, venue, events) of a series' page; null for other pages."""
+    events = F.flatten(F.transform(page["headers"], lambda h: T.events_from_header(h)))
+    out = F.struct(page["id"].alias("dblp_id"), page["headline"].alias("name"), T.abbreviation(page["headline"]).alias("abbreviation"), venue_information(page).alias("venue"), events.alias("events"))
+    return F.when(page["is_series"], out)
 
 
-def mentioned_headers(html):
-    return _applied(_mentioned, "array<string>", html)
+def headline(html):
+    return page(html)["headline"]
 
 
-def venue_items(html):
-    return _applied(_venue, "array<struct<relation:string,name:string,reference:string,text:string>>", html)
+def breadcrumb_parents(html):
+    return page(html)["parents"]
 
 
-def volume_title(html):
-    return _applied(_volume_title, "string", html)
+def is_series_page(html):
+    return page(html)["is_series"]
 
 
-def index_links(html):
-    return _applied(_index_links, "array<string>", html)
+def header_id(html):
+    return page(html)["id"]
+
+
+def mentioned_headers(html):
+    return page(html)["headers"]
 
 
 def redirect_target(html):
-    return _applied(_redirect, "string", html)
+    return page(html)["redirect"]

@@ -159,8 +159,8 @@ def year_range(c: Column) -> Column:
         a, b = F.substring(s, 1, 4).cast("int"), F.substring(s, 6, 4).cast("int")
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
-    rest = F.regexp_replace(c, r"[0-9]{4}-[0-9]{4}", "")
-    single = F.transform(F.regexp_extract_all(rest, F.lit("([0-9]{4})"), F.lit(1)), lambda y: y.cast("int"))
+    # Years that stand alone: not before a range's dash, spaces or not, and not right after one.
+    single = F.transform(F.regexp_extract_all(c, F.lit(r"\b(?<!-)([0-9]{4})(?!\s*-\s*[0-9]{4}\b)"), F.lit(1)), lambda y: y.cast("int"))
     single = F.filter(single, lambda y: ~(F.coalesce(y == since, F.lit(False)) | F.coalesce(y == until, F.lit(False))))
     years = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(spans, spread)), single)))
     out = F.struct(since.alias("since"), until.alias("until"), years.alias("years"))

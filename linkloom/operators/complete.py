@@ -56,22 +56,56 @@ def completions_by_item(completions: DataFrame) -> DataFrame:
     return completions.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("seq", "attr", "value", "found_by"))).alias("found"))
 
 
-def complete_ordinals(items: DataFrame) -> DataFrame:
-    """Completion rows of ordinals read from the title, else the label, where none is set."""
+def _open(items: DataFrame, attr: str, completions: DataFrame | None) -> DataFrame:
+    """Items that still need the attribute; without a log of completions, those where it is null."""
+    if completions is not None:
+        return uncompleted(items, attr, completions)
+    return items.filter(F.col(attr).isNull() & F.col("qid").isNotNull())
+
+
+def complete_ordinals(items: DataFrame, completions: DataFrame | None = None) -> DataFrame:
+    """Completion rows of ordinals read from the title, else the label, where none is set or logged."""
     found = T.free_ordinal(T.title_or_label(F.col("title"), F.col("label")))
-    return _rows(items.filter(F.col("ordinal").isNull() & F.col("qid").isNotNull()), "ordinal", found)
+    return _rows(_open(items, "ordinal", completions), "ordinal", found)
 
 
-def complete_acronyms(items: DataFrame) -> DataFrame:
-    return _rows(items.filter(F.col("acronym").isNull() & F.col("qid").isNotNull()), "acronym", T.acronym_of(F.col("label"), F.col("title")))
+def complete_acronyms(items: DataFrame, completions: DataFrame | None = None) -> DataFrame:
+    return _rows(_open(items, "acronym", completions), "acronym", T.acronym_of(F.col("label"), F.col("title")))
 
 
-def complete_titles(items: DataFrame, payloads: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Titles of volumes by precedence: the JSON payload's keys (volume_number, payload), else the page's title (volume_number, title)."""
-    out = items.join(payloads, "volume_number", "left").withColumn("_t", T.json_title(F.col("payload")))
+def complete_titles(items: DataFrame, payloads: DataFrame, pages: DataFrame | None = None, completions: DataFrame | None = None) -> DataFrame:
+    """Titles of volumes that have none, by precedence: the JSON payload's keys (volume_number, payload), else the page's title (volume_number, title)."""
+    attr = "ceurws_title"
+    items = _open(items if attr in items.columns else items.withColumn(attr, F.lit(None).cast("string")), attr, completions)
+    found = payloads.select("volume_number", T.json_title(F.col("payload")).alias("value"), F.lit(0).alias("place"))
     if pages is not None:
-        out = out.join(pages.select("volume_number", F.col("title").alias("_p")), "volume_number", "left").withColumn("_t", F.coalesce("_t", "_p"))
-    return _rows(out, "ceurws_title", F.col("_t"))
+        found = found.unionByName(pages.select("volume_number", F.col("title").alias("value"), F.lit(1).alias("place")))
+    found = found.filter(F.col("value").isNotNull()).groupBy("volume_number").agg(F.min(F.struct("place", "value"))["value"].alias("value"))
+    out = items.select("qid", "volume_number").join(found, "volume_number")
+    return _rows(out, attr, F.col("value"))
+
+
+def in_language(items: DataFrame, labels: DataFrame, lang: str, key: str = "qid") -> DataFrame:
+    """Items with their label in a language; the language stands in the join, so items without one stay."""
+    own = labels.filter(F.col("lang") == lang).groupBy(key).agg(F.min("label").alias("label"))
+    return items.join(own, key, "left")
+
+
+def known_good(items: DataFrame, bad: DataFrame, key: str = "qid") -> DataFrame:
+    """Items without those that are known to be wrong; items without a key stay."""
+    return items.join(bad.select(key).distinct(), key, "left_anti")
+
+
+def whole(items: DataFrame, attrs: list[str]) -> DataFrame:
+    """Items that have all of the attributes."""
+    return items.dropna(subset=attrs)
+
+
+def title_pairs(matches: DataFrame, events: DataFrame, series: DataFrame) -> DataFrame:
+    """(event_title, series_title) of matches (event_qid, series_qid), labels standing in for titles; pairs that lack one are left out."""
+    named = lambda df, of: df.select(F.col("qid").alias(f"{of}_qid"), T.title_or_label(F.col("title"), F.col("label")).alias(f"{of}_title"))
+    out = matches.join(named(events, "event"), "event_qid").join(named(series, "series"), "series_qid")
+    return out.select("event_title", "series_title").dropna()
 
 
 def _rows(items: DataFrame, attr: str, value: Column, found_by: str = "completion") -> DataFrame:
@@ -123,6 +157,7 @@ def split_set(c: Column, prefix: str = "http://www.wikidata.org/entity/") -> Col
     return F.array_distinct(F.transform(F.split(c, " "), lambda x: T.parse_qid(x, prefix)))
 
 
-def hash_split(df: DataFrame, key: str, share: float = 0.3, buckets: int = 100) -> DataFrame:
-    """A deterministic test flag by the key's hash."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(key), F.lit(buckets)) < int(share * buckets))
+def hash_split(df: DataFrame, key: str, share: float = 0.3, buckets: int = 100, hashed: Column | None = None) -> DataFrame:
+    """A deterministic test flag by the key's hash, or by another whole number."""
+    number = F.xxhash64(key) if hashed is None else hashed
+    return df.withColumn("is_test", F.pmod(number, F.lit(buckets)) < round(share * buckets))

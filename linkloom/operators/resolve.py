@@ -25,8 +25,8 @@ def children_by_prefix(series: DataFrame, events: DataFrame, boundary: bool = Tr
 
 
 def parents(events: DataFrame) -> DataFrame:
-    """(id, pos, parent_id, parent_name): breadcrumb parents, else the id's stem."""
-    fallback = F.array(F.struct(T.id_stem(F.col("id")).alias("dblp_id"), F.lit(None).cast("string").alias("name")))
+    """(id, pos, parent_id, parent_name): breadcrumb parents, else the id's stem, named by its last part."""
+    fallback = F.array(F.struct(T.id_stem(F.col("id")).alias("dblp_id"), T.id_name(T.id_stem(F.col("id"))).alias("name")))
     found = F.when(F.size("parents") > 0, F.col("parents")).otherwise(fallback)
     return events.select("id", F.posexplode(found).alias("pos", "p")).select("id", "pos", F.col("p.dblp_id").alias("parent_id"), F.col("p.name").alias("parent_name"))
 

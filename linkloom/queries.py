@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html as H
 from .functions import text as T
 from .operators import complete, ensemble, resolve, similarity
 from .plans import learning
+from .sources import tables
+from .sources.tables import LITERAL_SERIES
 
 FLAGSHIP = "containment_match"
 QUERIES: dict = {}
@@ -280,15 +282,16 @@ def event_from_title(spark, sf):
     return _titles(spark, sf).select("id", T.event_from_title(F.col("title")).alias("e")).select("id", "e.title", "e.location", "e.year", "e.ordinal")
 
 
-@query(r"""WITH t AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, 1994 + o_custkey % 6 AS a FROM orders)
-SELECT id, CAST(a AS INTEGER) AS since, CAST(y AS INTEGER) AS year, y >= a AND (y BETWEEN 1995 AND 1997 OR y = 1999) AS inside FROM t""")
+@query(r"""WITH t AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, 1994 + o_custkey % 6 AS a, o_custkey % 2 = 0 AS spaced FROM orders),
+r AS (SELECT *, CASE WHEN spaced THEN [1997, 1999] ELSE [1995, 1996, 1997, 1999] END AS ys FROM t)
+SELECT id, CAST(a AS INTEGER) AS since, CAST(y AS INTEGER) AS year, array_to_string(list_filter(ys, lambda x : x <> a OR (NOT spaced AND x < 1998)), ' ') AS years,
+  y >= a AND list_contains(list_filter(ys, lambda x : x <> a OR (NOT spaced AND x < 1998)), y) AS inside FROM r""")
 def year_ranges(spark, sf):
-    """Whether an order's year lies in a written range."""
+    """Whether an order's year lies in a written range; of a range with spaces only the end counts."""
     o = _read(spark, sf, "orders")
-    phrase = F.concat(F.lit("since "), (1994 + F.col("o_custkey") % 6).cast("string"), F.lit(", 1995-1997, 1999"))
+    phrase = F.concat(F.lit("since "), (1994 + F.col("o_custkey") % 6).cast("string"), F.lit(", 1995"), F.when(F.col("o_custkey") % 2 == 0, " - ").otherwise("-"), F.lit("1997, 1999"))
     rows = o.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), T.year_range(phrase).alias("r"))
-    # 'since' is a year of its own only where it isn't one of the single years.
-    return rows.select("id", F.col("r.since").alias("since"), "year", T.in_year_range(F.col("year"), F.struct(F.col("r.since").alias("since"), F.col("r.until").alias("until"), F.array_union(F.col("r.years"), F.array(F.lit(1999))).alias("years"))).alias("inside"))
+    return rows.select("id", F.col("r.since").alias("since"), "year", F.array_join(F.transform("r.years", lambda x: x.cast("string")), " ").alias("years"), T.in_year_range(F.col("year"), F.col("r")).alias("inside"))
 
 
 @query(rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '/index\.html$', ''), '\.html$', '') AS id,
@@ -312,19 +315,169 @@ def normalised_text(spark, sf):
 @query(r"SELECT page_id, trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) <> '' AS has_headline, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links FROM pages")
 def html_structure(spark, sf):
     """Headline and links through the page parser."""
-    p = _read(spark, sf, "pages").select("page_id", H.headline("html").alias("h"), H.links("html").alias("links"))
-    return p.select("page_id", (F.coalesce(F.col("h"), F.lit("")) != "").alias("has_headline"), F.size("links").alias("n_links"))
+    p = _read(spark, sf, "pages").select("page_id", H.page(F.col("html")).alias("p"))
+    return p.select("page_id", (F.coalesce(F.col("p.headline"), F.lit("")) != "").alias("has_headline"), F.size("p.links").alias("n_links"))
 
 
 @query()
 def html_extraction(spark, sf):
     """Title, headline, list items, links, breadcrumbs and header events of each page."""
-    h = F.col("html")
-    return _read(spark, sf, "pages").select(
-        "page_id", H.page_title(h).alias("title"), H.headline(h).alias("headline"), H.list_items(h).alias("items"), H.links(h).alias("links"),
-        H.breadcrumb_parents(h).alias("parents"), H.is_series_page(h).alias("is_series"), H.mentioned_headers(h).alias("headers"), H.venue_items(h).alias("venue"),
-        H.header_id(h).alias("id"), H.volume_title(h).alias("volume_title"), H.index_links(h).alias("index"), H.redirect_target(h).alias("redirect"),
+    return _read(spark, sf, "pages").select("page_id", H.page(F.col("html")).alias("p")).select("page_id", "p.*")
+
+
+def _crumb(id_, name) -> Column:
+    link = F.concat(F.lit('<li><span><span><a href="https://dblp.org/db/'), id_, F.lit('">'), name, F.lit('</a><meta itemprop="position" content="3"></span></span></li>'))
+    return F.concat(F.lit('<div id="breadcrumbs"><ul>'), link, F.lit("</ul></div>"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'conf/n' || c_nationkey || '/' || c_custkey AS id, 'conf/n' || c_nationkey AS stem, 'n' || c_nationkey AS short, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, (k % 40 + 1) || '. EV ' || (1990 + k % 30) AS title, CAST(1990 + k % 30 AS INTEGER) AS year, n_name AS location, CAST(k % 40 + 1 AS INTEGER) AS ordinal,
+  stem AS parent_id, CASE WHEN k % 5 = 0 THEN short WHEN k % 7 = 0 THEN 'Workshop ' || n_name ELSE 'Meeting ' || n_name END AS parent_name,
+  CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN NULL ELSE stem END AS series_id FROM c""")
+def event_pages(spark, sf):
+    """Events of synthetic pages, their breadcrumb parents and their conference series."""
+    n = _read(spark, sf, "nation").select("n_nationkey", "n_name")
+    c = _read(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, stem = F.col("c_custkey"), F.concat(F.lit("conf/n"), F.col("c_nationkey").cast("string"))
+    name = F.concat(F.when(k % 7 == 0, "Workshop ").otherwise("Meeting "), F.col("n_name"))
+    id_ = F.concat(stem, F.lit("/"), k.cast("string"))
+    title = F.concat((k % 40 + 1).cast("string"), F.lit(". EV "), (1990 + k % 30).cast("string"), F.lit(": "), F.col("n_name"))
+    html = F.concat(F.when(k % 5 == 0, "").otherwise(_crumb(stem, name)), F.lit('<header id="headline" data-bhtkey="db/'), id_, F.lit('"><h1>'), title, F.lit("</h1></header><p>unclosed"))
+    pages = c.select(H.page(html).alias("p"))
+    events = pages.select(H.event(F.col("p")).alias("e"), F.col("p.parents").alias("parents")).select(F.col("e.dblp_id").alias("id"), "e.title", "e.year", "e.location", "e.ordinal", "parents")
+    up = resolve.parents(events)
+    found = resolve.conference_series(up).withColumnRenamed("parent_id", "series_id")
+    return events.drop("parents").join(up.drop("pos"), "id").join(found, "id", "left")
+
+
+@query("""SELECT 'conf/s' || s_suppkey AS dblp_id, s_name || ' (AB' || s_suppkey || ')' AS name, 'AB' || s_suppkey AS abbreviation, CAST(1990 + s_suppkey % 20 AS INTEGER) AS since,
+  'conf/n' || s_nationkey AS part, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2000 + s_suppkey % 9 ELSE 0 END AS INTEGER) AS discontinued, s_suppkey % 4 = 0 AS merged_into,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '2001 2002 2003' END AS successor_years, 'name changed' AS qualifier, true AS open_access,
+  '2nd A 2010@Rome|3rd B 2010@Rome|4th C ' || (2011 + s_suppkey % 5) || '@Oslo' AS events
+FROM supplier WHERE s_suppkey % 5 <> 0""")
+def series_pages(spark, sf):
+    """Series of synthetic pages with their venue box and events; other pages give nothing."""
+    k = F.col("s_suppkey")
+    line = lambda label, *rest: F.concat(F.lit(f"<li><em>{label}"), *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in rest], F.lit("</li>"))
+    box = F.concat(
+        line("access:", "</em> some or all publications openly available"), line("has part (since ", 1990 + k % 20, '):</em> <a href="https://dblp.org/db/conf/n', F.col("s_nationkey"), '/index.html">Part</a>'),
+        line("related (name changed):", "</em> Old Name"), F.when(k % 3 == 0, line("status:", "</em> as of ", 2000 + k % 9, ", this venue has been discontinued")).otherwise(""),
+        line("successor (", F.when(k % 4 == 0, "merged into").otherwise("2001-2003"), "):</em> Next"),
     )
+    crumb = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit('<div id="breadcrumbs"><ul><li><a href="https://dblp.org/db/conf/">Conferences</a></li></ul></div>'))
+    head = F.concat(F.lit('<header id="headline" data-stream="conf/s'), k.cast("string"), F.lit('"><h1>'), F.col("s_name"), F.lit(" (AB"), k.cast("string"), F.lit(")</h1></header>"))
+    main = F.concat(F.lit('<div id="main"><header class="h2"><h2>2nd A / 3rd B 2010: Rome</h2></header><header class="h2"><h2>4th C '), (2011 + k % 5).cast("string"), F.lit(": Oslo</h2></header></div>"))
+    html = F.concat(crumb, head, F.lit('<div id="info-section"><ul>'), box, F.lit("</ul></div>"), main)
+    s = _read(spark, sf, "supplier").select(H.page(html).alias("p")).select(H.series(F.col("p")).alias("s")).filter("s is not null")
+    years = F.array_join(F.transform(F.get("s.venue.successor", 0)["years"]["years"], lambda y: y.cast("string")), " ")
+    return s.select(
+        "s.dblp_id", "s.name", "s.abbreviation", F.get("s.venue.has_part", 0)["years"]["since"].alias("since"), F.get("s.venue.has_part", 0)["reference"].alias("part"), F.coalesce("s.venue.discontinued", F.lit(0)).alias("discontinued"),
+        F.get("s.venue.successor", 0)["merged_into"].alias("merged_into"), years.alias("successor_years"), F.get("s.venue.related", 0)["qualifier"].alias("qualifier"), "s.venue.open_access",
+        F.array_join(F.transform("s.events", lambda e: F.concat(e["title"], F.lit("@"), e["location"])), "|").alias("events"),
+    )
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, c_custkey % 30 + 1 AS n FROM customer)
+SELECT id, CAST(n AS INTEGER) AS ordinal FROM t""")
+def free_ordinals(spark, sf):
+    """Ordinals in digits and in words."""
+    words = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
+    words += [f"twenty-{w}" for w in words[:9]] + ["thirtieth"]
+    k = F.col("c_custkey")
+    suffix = F.when((k % 30 + 1).isin(1, 21), "st").when((k % 30 + 1).isin(2, 22), "nd").when((k % 30 + 1).isin(3, 23), "rd").otherwise("th")
+    said = F.when(k % 2 == 0, F.concat((k % 30 + 1).cast("string"), suffix)).otherwise(F.get(F.array(*map(F.lit, words)), (k % 30).cast("int")))
+    return _read(spark, sf, "customer").select(k.alias("id"), T.free_ordinal(F.concat(F.lit("Proc. of the "), said, F.lit(" Meeting"))).alias("ordinal"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'conf/x' || c_nationkey END AS clean, 'Q' || c_custkey AS qid, 1880 + c_custkey % 200 > 1900 AND 1880 + c_custkey % 200 <= 2024 AS realistic,
+  c_custkey % 2 = 0 AS is_series, c_custkey % 2 = 1 AS is_event FROM customer""")
+def id_shapes(spark, sf):
+    k, n = F.col("c_custkey"), F.concat(F.lit("conf/x"), F.col("c_nationkey").cast("string"))
+    raw = F.when(k % 3 == 0, F.concat(F.lit("https://a.org/"), n)).otherwise(F.concat(n, F.when(k % 3 == 1, "/").otherwise("")))
+    shape = F.when(k % 2 == 0, n).otherwise(F.concat(n, F.lit("/e")))
+    qid = F.concat(F.when(k % 2 == 0, "http://www.wikidata.org/entity/Q").otherwise("Q"), k.cast("string"))
+    return _read(spark, sf, "customer").select(k.alias("id"), T.clean_id(raw).alias("clean"), T.parse_qid(qid).alias("qid"), T.is_realistic_year(1880 + k % 200, 2024).alias("realistic"), T.is_series_id(shape).alias("is_series"), T.is_event_id(shape).alias("is_event"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT 'Q' || k AS qid, 'ordinal' AS attr, CAST(k % 9 + 4 AS VARCHAR) AS value FROM p WHERE k % 4 <> 0 AND k % 3 <> 0
+UNION ALL SELECT 'Q' || k, 'acronym', CASE WHEN k % 6 = 1 THEN 'T' || k ELSE 'L' || k END FROM p WHERE k % 5 <> 0
+UNION ALL SELECT 'Q' || k, 'ceurws_title', CASE WHEN k % 8 < 3 THEN 'json ' || k ELSE 'page ' || k END FROM p WHERE k % 7 <> 0 AND k % 8 < 6""")
+def completed_attributes(spark, sf):
+    """Ordinals, acronyms and volume titles of what has none and isn't logged as completed."""
+    k = F.col("p_partkey")
+    said, text = F.concat((k % 9 + 4).cast("string"), F.lit("th Meeting")), k.cast("string")
+    items = _read(spark, sf, "part").select(
+        F.concat(F.lit("Q"), text).alias("qid"), k.alias("volume_number"), F.when(k % 2 == 0, F.concat(said, F.lit(" (T"), text, F.lit(")"))).when(k % 6 == 1, F.concat(said, F.lit(" (T"), text, F.lit(")"))).alias("title"),
+        F.when(k % 6 == 1, said).otherwise(F.concat(said, F.lit(" (L"), text, F.lit(")"))).alias("label"),
+        F.when(k % 4 == 0, 1).alias("ordinal"), F.lit(None).cast("string").alias("acronym"), F.when(k % 7 == 0, "has one").alias("ceurws_title"), k,
+    )
+    log = items.filter("p_partkey % 3 = 0").select("qid", F.lit("ordinal").alias("attr")).unionByName(items.filter("p_partkey % 5 = 0").select("qid", F.lit("acronym").alias("attr")))
+    payloads = items.filter("p_partkey % 8 < 4").select("volume_number", F.concat(F.lit('{"cvb.title": "'), F.when(k % 8 < 3, F.concat(F.lit("json "), text)).otherwise(""), F.lit('"}')).alias("payload"))
+    pages = items.filter("p_partkey % 8 < 6").select("volume_number", F.concat(F.lit("page "), text).alias("title"))
+    out = complete.complete_ordinals(items, log).unionByName(complete.complete_acronyms(items, log)).unionByName(complete.complete_titles(items, payloads, pages, log))
+    return out.select("qid", "attr", "value")
+
+
+_SERIES_ROWS = ", ".join(f"('Q0-{i}', '{t}')" for i, t in enumerate(LITERAL_SERIES))
+
+
+@query(f"SELECT * FROM (VALUES {_SERIES_ROWS}) AS t(qid, title)")
+def literal_series(spark, sf):
+    """Proxy series of fixed titles."""
+    return tables.literal_series(spark).select("qid", "title")
+
+
+@query("""SELECT c_custkey AS qid, CASE WHEN s_suppkey IS NOT NULL AND c_custkey % 2 = 0 THEN s_name END AS label FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
+WHERE c_custkey % 11 <> 0 AND c_mktsegment IS NOT NULL""")
+def language_labels(spark, sf):
+    """Labels in one language, without known bad items and such as lack a segment."""
+    items = _read(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), "c_mktsegment")
+    labels = _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), F.col("s_name").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, "en").otherwise("de").alias("lang"))
+    good = complete.known_good(complete.whole(items, ["c_mktsegment"]), items.filter("qid % 11 = 0"))
+    return complete.in_language(good, labels, "en").select("qid", "label")
+
+
+@query("""SELECT c_name AS event_title, CASE WHEN s_suppkey % 2 = 0 THEN 'T ' || s_name ELSE s_name END AS series_title FROM customer JOIN supplier ON s_suppkey = c_custkey % 50 WHERE c_custkey % 3 <> 0""")
+def match_title_pairs(spark, sf):
+    """Titles of matched pairs, labels where there is no title."""
+    c, s = _read(spark, sf, "customer"), _read(spark, sf, "supplier")
+    events = c.select(F.col("c_custkey").alias("qid"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("title"), F.lit(None).cast("string").alias("label"))
+    series = s.select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("T "), F.col("s_name"))).alias("title"), F.col("s_name").alias("label"))
+    return complete.title_pairs(c.select(F.col("c_custkey").alias("event_qid"), (F.col("c_custkey") % 50).alias("series_qid")), events, series)
+
+
+@query("SELECT o_orderkey AS qid FROM orders WHERE o_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def needs_parent(spark, sf):
+    """Items without a parent that no match has."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("part_of_series"))
+    return complete.without_parent(o, _read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("event_qid"))).select("qid")
+
+
+@query("""SELECT p.page_id AS id, length(coalesce(t.html, CASE WHEN p.page_id % 3 = 0 THEN 'fetched' ELSE p.html END)) AS n FROM pages p LEFT JOIN pages t ON t.page_id = p.page_id + 1 AND p.page_id % 7 = 0 AND t.page_id % 3 <> 0""")
+def cached_pages(spark, sf):
+    """Pages from the cache, else as fetched; then redirects are followed to cached pages."""
+    p = _read(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
+    cached = p.select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("html")).alias("html"))
+    read = resolve.read_through(p.select("id"), cached, p.select("id", F.lit("fetched").alias("html")))
+    targets = p.select("id", F.when((F.col("id") % 7 == 0) & ((F.col("id") + 1) % 3 != 0), F.col("id") + 1).alias("target"))
+    return resolve.followed(read, targets).select("id", F.length("html").cast("long").alias("n"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS k, 'conf/w/' || c_custkey AS id FROM customer)
+SELECT id, CASE WHEN k % 3 = 0 THEN 'conf/only' WHEN k % 3 = 1 THEN 'conf/swat' ELSE 'conf/abc' END AS parent_id, CAST(k % 3 + 1 AS INTEGER) AS rule FROM e WHERE NOT (k % 3 = 1 AND 1990 + k % 20 < 1995)""")
+def workshop_resolution(spark, sf):
+    """Workshops by their only workshop parent, by a venue record in force, and by a parent named like their abbreviation."""
+    k = F.col("c_custkey")
+    c = _read(spark, sf, "customer").select(k, F.concat(F.lit("conf/w/"), k.cast("string")).alias("id"))
+    title = F.when(k % 3 == 0, "S").when(k % 3 == 1, "SWAT@VENUE").otherwise("ABC@X")
+    events = c.select("id", title.alias("title"), (1990 + k % 20).cast("int").alias("year"))
+    row = lambda id_, name: F.struct(F.lit(id_).alias("dblp_id"), F.lit(name).alias("name"))
+    several = F.array(row("conf/abc", "Workshop ABC"), row("conf/q", "Workshop Q"))
+    up = resolve.parents(c.select("id", F.when(k % 3 == 0, F.array(row("conf/only", "A Workshop"))).when(k % 3 == 1, F.array(row("conf/venue", "Venue"))).otherwise(several).alias("parents")))
+    since = F.struct(F.lit(1995).alias("since"), F.lit(None).cast("int").alias("until"), F.array().cast("array<int>").alias("years"))
+    venue = _read(spark, sf, "region").filter("r_regionkey = 0").select(F.lit("conf/venue").alias("series_id"), F.lit("SWAT Workshop").alias("name"), F.lit("conf/swat").alias("reference"), since.alias("years"))
+    return resolve.workshop_series(events, up, venue).select("id", "parent_id", "rule")
 
 
 # Types, completion, patches
@@ -527,7 +680,7 @@ def value_intersection(spark, sf):
 
 @query("SELECT doc_id, doc_id % 10 < 3 AS is_test FROM documents")
 def deterministic_split(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 10 < 3).alias("is_test"))
+    return complete.hash_split(_read(spark, sf, "documents"), "doc_id", 0.3, 10, F.col("doc_id")).select("doc_id", "is_test")
 
 
 # Vectors

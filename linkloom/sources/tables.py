@@ -90,11 +90,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: T.parse_qid(F.col(c)) for c in ids})
 
 
-#: Series titles that no source holds.
+# Series titles that no source holds, workshops first.
 LITERAL_SERIES = (
-    "International Workshop on Ontology Matching",
-    "Workshop on Bayesian Modeling Applications",
-    "International Workshop on Semantic Web Enabled Software Engineering",
+    "Agent-based Modeling and Policy-Making (AMPM)",
+    "Computational Linguistics and Intelligent Systems (CLINS)",
+    "EICS Series",
+    "Games and Learning (GaL)",
+    "Federated Learning and Analytics (FedAnal)",
+    "ECML-PKDD",
+    "Data Science for Social Good (D4SG)",
+    "International Conference on Semantic Computing (ICSC)",
+    "International Conference on Social Informatics (SocInfo)",
+    "International Conference on Web Intelligence (WI)",
+    "Semantic Web for Health Care and Life Sciences (ESWC-Health)",
 )
 
 

@@ -18,7 +18,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["exact_title_semi", "ngram_dice_top1", "extract_acronyms", "type_classification", "patched_items", "vote_merge", "prefix_children", "ranked_rule_resolution", "same_time_join", "mean_vector"])
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:

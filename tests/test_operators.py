@@ -59,19 +59,19 @@ def test_votes_and_scores(spark):
 
 def test_patches_override_and_leave_the_input(spark):
     items = spark.createDataFrame([("Q1", None, 5), ("Q2", "X", None)], "qid string, acronym string, ordinal int")
-    log = spark.createDataFrame([("Q1", "acronym", "IWSG", "t", 1), ("Q2", "acronym", "Y", "t", 2), ("Q2", "acronym", "Z", "t", 3), ("Q2", "ordinal", "7", "t", 4)], "qid string, attr string, value string, found_by string, seq long")
+    log = spark.createDataFrame([("Q1", "acronym", "MBK", "t", 1), ("Q2", "acronym", "Y", "t", 2), ("Q2", "acronym", "Z", "t", 3), ("Q2", "ordinal", "7", "t", 4)], "qid string, attr string, value string, found_by string, seq long")
     got = {r.qid: (r.acronym, r.ordinal) for r in complete.patched(items, log, ["acronym", "ordinal"]).collect()}
-    assert got == {"Q1": ("IWSG", 5), "Q2": ("Z", 7)}
+    assert got == {"Q1": ("MBK", 5), "Q2": ("Z", 7)}
     assert items.filter("qid = 'Q1'").first().acronym is None
     assert [r.qid for r in complete.uncompleted(items, "ordinal", log).collect()] == []
 
 
 def test_hierarchy(spark):
-    series = spark.createDataFrame([("conf/test1",), ("conf/test2",)], "id string")
-    events = spark.createDataFrame([("conf/test1/event1",), ("conf/test1/event2",), ("conf/test11/x",), ("journal/test/event3",)], "id string")
-    assert {r.series_id: r.events for r in resolve.children_by_prefix(series, events).collect()} == {"conf/test1": ["conf/test1/event1", "conf/test1/event2"], "conf/test2": []}
+    series = spark.createDataFrame([("conf/loom",), ("conf/weft",)], "id string")
+    events = spark.createDataFrame([("conf/loom/one",), ("conf/loom/two",), ("conf/loom1/a",), ("journals/yarn/v3",)], "id string")
+    assert {r.series_id: r.events for r in resolve.children_by_prefix(series, events).collect()} == {"conf/loom": ["conf/loom/one", "conf/loom/two"], "conf/weft": []}
     raw = {r.series_id: r.events for r in resolve.children_by_prefix(series, events, boundary=False).collect()}
-    assert raw["conf/test1"] == ["conf/test1/event1", "conf/test1/event2", "conf/test11/x"]
+    assert raw["conf/loom"] == ["conf/loom/one", "conf/loom/two", "conf/loom1/a"]
 
 
 def test_workshop_cascade(spark):
@@ -85,16 +85,23 @@ def test_workshop_cascade(spark):
     assert "conf/a/1" not in conferences and conferences["conf/b/2"] == "conf/iswc"
 
 
-PAGE = """<html><body><div id="breadcrumbs"><ul><li><span><span><a href="https://dblp.org/db/conf/at"><span>AT</span></a><meta itemprop="position" content="3"></span></span></li></ul></div>
-<header id="headline" data-bhtkey="db/conf/at/at2012"><h1>1. AT 2012: Dubrovnik, Croatia</h1></header><div id="main"><header><h2>2nd AT 2013: Rome</h2></header><p><br>x</div></body>"""
+PAGE = """<html><body><div id="breadcrumbs"><ul><li><span><span><a href="https://dblp.org/db/conf/weave"><span>WEAVE</span></a><meta itemprop="position" content="3"></span></span></li></ul></div>
+<header id="headline" data-bhtkey="db/conf/weave/weave1999"><h1>7. WEAVE 1999: Ghent, Belgium</h1></header><div id="main"><header><h2>8th WEAVE 2001: Lyon</h2></header><p><br>x</div></body>"""
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([(PAGE,), (None,), ("<p>broken",)], "html string")
-    got = pages.select(H.headline("html").alias("h"), H.breadcrumb_parents("html").alias("p"), H.mentioned_headers("html").alias("m"), H.header_id("html").alias("id"), H.is_series_page("html").alias("s")).collect()
-    assert got[0].h == "1. AT 2012: Dubrovnik, Croatia" and got[0].m == ["2nd AT 2013: Rome"] and got[0].id == "conf/at/at2012"
-    assert [(p.dblp_id, p.name) for p in got[0].p] == [("conf/at", "AT")]
-    assert (got[1].h, got[2].h, got[2].s) == (None, None, False)
+    other = '<header id="headline" data-bhtkey="db/journals/weave/index"><h1>x</h1></header>'
+    pages = spark.createDataFrame([(PAGE,), (None,), ("<p>broken",), (other,)], "html string").select(H.page(F.col("html")).alias("p"))
+    got = pages.select("p.*", H.event(F.col("p")).alias("e"), H.series(F.col("p")).alias("s")).collect()
+    assert got[0].headline == "7. WEAVE 1999: Ghent, Belgium" and got[0].headers == ["8th WEAVE 2001: Lyon"] and got[0].id == "conf/weave/weave1999"
+    assert tuple(got[0].e) == ("conf/weave/weave1999", "7. WEAVE 1999", 1999, "Ghent, Belgium", 7) and got[0].s is None
+    assert [(p.dblp_id, p.name) for p in got[0].parents] == [("conf/weave", "WEAVE")]
+    assert (got[1].headline, got[2].headline, got[2].is_series, got[1].e, got[3].id) == (None, None, False, None, None)
+
+
+def test_parents_fall_back_to_the_stem(spark):
+    events = spark.createDataFrame([("conf/loom/one", [])], "id string, parents array<struct<dblp_id:string,name:string>>")
+    assert [tuple(r) for r in resolve.parents(events).collect()] == [("conf/loom/one", 0, "conf/loom", "loom")]
 
 
 def test_types(spark):

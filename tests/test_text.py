@@ -25,14 +25,15 @@ def test_irregular_titles(spark):
 
 
 def test_free_ordinals(spark):
-    titles = ["10th International Workshop on Science Gateways", "3rd International Workshop on Science Gateways for Life Sciences", "First Conference on Software Engineering", "Workshops of the EDBT/ICDT 2022 Joint Conference", "Twenty-First Meeting"]
-    assert column(spark, titles, T.free_ordinal) == [10, 3, 1, None, 21]
+    titles = ["12th Symposium on Looms", "The 3rd Days of Yarn for Weavers", "First Gathering of Dyers", "Sessions of the 2019 Fair", "Twenty-First Meeting"]
+    assert column(spark, titles, T.free_ordinal) == [12, 3, 1, None, 21]
 
 
 def test_year_ranges(spark):
-    r = column(spark, ["since 2001, 2003-2005, 2009", "until 1999", "no year", "2005-2003"], T.year_range)
+    r = column(spark, ["since 2001, 2003-2005, 2009", "until 1999", "no year", "2005-2003", "2003 - 2005", "since 1999, 1999"], T.year_range)
     assert (r[0].since, r[0].until, r[0].years) == (2001, None, [2003, 2004, 2005, 2009])
     assert (r[1].until, r[1].years, r[2], r[3]) == (1999, [], None, None)
+    assert r[4].years == [2005] and (r[5].since, r[5].years) == (1999, [])
     rows = spark.createDataFrame([(2004,), (2010,)], "y int").select(T.in_year_range(F.col("y"), T.year_range(F.lit("since 2001, 2003-2005, 2009"))).alias("x"))
     assert sorted(x[0] for x in rows.collect()) == [False, True]
 
@@ -42,7 +43,7 @@ def test_acronyms_and_ids(spark):
     assert column(spark, ["x (A B) (CD)", "none"], T.abbreviation) == ["CD", None]
     assert column(spark, ["SWAT@ISWC 2009", "none"], T.at_abbreviation) == ["SWAT", None]
     assert column(spark, ["https://dblp.org/db/conf/ai/index.html", "conf/ai/x.html"], lambda c: T.url_to_id(c, "https://dblp.org/db/")) == ["conf/ai", "conf/ai/x"]
-    assert column(spark, ["conf/validconf/", "https://example.com"], T.clean_id) == ["conf/validconf", None]
+    assert column(spark, ["conf/yarn/", "https://loom.example"], T.clean_id) == ["conf/yarn", None]
     assert column(spark, ["conf/a", "conf/a/b", "x/a"], T.is_series_id) == [True, False, False]
     assert column(spark, ["http://www.wikidata.org/entity/Q5", "Q7"], T.parse_qid) == ["Q5", "Q7"]
 
