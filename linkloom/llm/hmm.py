@@ -9,7 +9,8 @@ words stay in a table that is joined by shuffle. A document ends with a token of
 Training. Words are turned into class ids once. Expected counts of Baum-Welch are summed in
 each partition over all training sequences and then across partitions; the M-step runs on
 the driver over (HEAD + TAIL) * STATES numbers. The first parameters come from the counts of
-the whole corpus and a keyed hash of the classes; every pass covers all training sequences.
+the whole corpus and a keyed hash of the classes; every pass covers all training sequences,
+and passes go on until one gains less than GAIN (log10 likelihood a token) over the one before.
 
 Scoring. The scaled forward recursion gives each document's exact likelihood, many documents
 side by side, one step at a time.
@@ -29,7 +30,8 @@ from ._sums import summed
 from ._text import Words, chunks, mix, signed
 
 HEAD, TAIL, STATES = 1 << 16, 4096, 8
-PASSES = 14
+#: Passes at most, and the gain in log10 likelihood a token below which no further pass is made.
+PASSES, GAIN = 14, 0.002
 #: Tokens that are worked on side by side.
 TOKENS = 1 << 19
 #: Occurrences by which a class's states are drawn to those of all tokens: a rare word says little of its state.
@@ -237,30 +239,30 @@ def _start(classes: Classes) -> Model:
     return Model.from_counts(np.ones(STATES), stay, emit, corpus)
 
 
-def _pass(encoded: DataFrame, m: Model, classes: Classes) -> Model:
-    """One Baum-Welch pass over all training sequences."""
+def _pass(encoded: DataFrame, m: Model, classes: Classes) -> tuple[Model, float]:
+    """One Baum-Welch pass over all training sequences: the new model, and the log10 likelihood of the old one."""
     shared = encoded.sparkSession.sparkContext.broadcast(m)
     size = classes.size
 
     def expect(batches):
         m = shared.value
-        emit, start, move = np.zeros((size, STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
+        emit, start, move, loglik = np.zeros((size, STATES)), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
         for b in batches:
             for _, ids, bounds in _groups(b.column(0), size):
-                _Steps(ids, bounds).counts(m, emit, start, move)
-        parts = [(i, emit[i * _CHUNK : (i + 1) * _CHUNK].tobytes()) for i in range(-(-size // _CHUNK))]
-        parts += [(-1, start.tobytes()), (-2, move.tobytes())]
+                loglik += _Steps(ids, bounds).counts(m, emit, start, move)
+        parts = [(i, emit[i * _CHUNK : (i + 1) * _CHUNK]) for i in range(-(-size // _CHUNK))]
+        parts = [(i, x.astype(np.float32).tobytes()) for i, x in [*parts, (-1, start), (-2, move), (-3, np.array([loglik]))]]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["chunk", "counts"])
 
     # Each task sends tables of one size, so there are no more tasks than cores.
     tasks = encoded.sparkSession.sparkContext.defaultParallelism
     parts = encoded.filter("train").select("ids").coalesce(tasks).mapInArrow(expect, "chunk long, counts binary")
-    rows = summed(parts, np.float64)
+    rows = summed(parts, np.float32, tasks)
     got = {r["chunk"]: np.frombuffer(bytes(r["counts"])) for r in rows.collect()}  # (HEAD + TAIL) * STATES numbers
     if not got:
-        return m
+        return m, 0.0
     emit = np.concatenate([got[i] for i in range(-(-size // _CHUNK))]).reshape(size, STATES)
-    return Model.from_counts(got[-1], got[-2].reshape(STATES, STATES), emit, classes.weights())
+    return Model.from_counts(got[-1], got[-2].reshape(STATES, STATES), emit, classes.weights()), float(got[-3][0])
 
 
 def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
@@ -315,9 +317,12 @@ def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     encoded = own.mapInArrow(encode, f"id {kind}, train boolean, ids binary, rare binary").withColumn("row", F.monotonically_increasing_id())
     encoded = scratch.save(encoded, "encoded")
-    model = _start(classes)
+    model, before = _start(classes), -np.inf
     for _ in range(passes):
-        model = _pass(encoded, model, classes)
+        model, loglik = _pass(encoded, model, classes)
+        if loglik - before < GAIN * classes.train_tokens:
+            break
+        before = loglik
     trained = spark.sparkContext.broadcast((model, classes))
 
     def score(batches):
