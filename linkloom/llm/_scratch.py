@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured."""
+    """The cluster's shared folder; a temporary one only where none is configured and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_linkloom_shared", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="linkloom-")

@@ -50,23 +50,24 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_words_removed_by_windows(spark, docs, none):
+@pytest.mark.parametrize("size", [20, 50])
+def test_words_removed_by_windows(spark, docs, none, size):
     rows = [(d, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for d, t, *_ in corpus()]
     first = {}
     for d, w in rows:
         if d is not None:
-            for i in range(len(w) - 19):
-                k = tuple(w[i : i + 20])
+            for i in range(len(w) - size + 1):
+                k = tuple(w[i : i + size])
                 first[k] = min(d, first.get(k, d))
     want = []
     for d, w in rows:
         gone = [False] * len(w)
-        for i in range(len(w) - 19):
-            if d is not None and first[tuple(w[i : i + 20])] < d:
-                gone[i : i + 20] = [True] * 20
+        for i in range(len(w) - size + 1):
+            if d is not None and first[tuple(w[i : i + size])] < d:
+                gone[i : i + size] = [True] * size
         want.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
-    got = [(r.id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_words(docs, size=20).collect()]
-    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(x[2] for x in want) > 100
+    got = [(r.id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_words(docs, size=size).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(x[2] for x in want) > 60 and (size < 50 or substring_dedup.levels(size) == [13, 25, 50])
     assert substring_dedup.remove_repeated_words(none).collect() == []
 
 
@@ -284,6 +285,37 @@ def test_masks_survive_two_substitutions():
             assert any(not {a, b} & {s + i for i in m} for m in decontam.MASKS for s in range(13 - m[-1]))
 
 
+def test_pipeline_runs_whole(spark, tmp_path):
+    """The stages one by one over planted rows: what each rejects is gone, and the packing holds all that is left."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    say = lambda k: " ".join("".join(rng.choices("aeioutnrsl", k=rng.randint(2, 8))) for _ in range(k))
+    rude = ["vexwurd", "grolnik", "zapfidle", "murkblot"]
+    texts = [say(60) for _ in range(300)]
+    for i in range(0, 120, 2):
+        texts[i] = " ".join(w if rng.random() < 0.6 else rng.choice(rude) for w in texts[i].split())
+    item = say(30)
+    texts[201], texts[203] = texts[200], texts[202] + " more"
+    texts[205] = f"{say(20)} {item} {say(20)}"
+    texts[207] = f"Mr. Kenji Watanabe, kenji@corp.net. {say(30)}"
+    texts += [None, ""]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 120 and i % 2 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, "t").save(stage(spark, docs, str(tmp_path)), name)
+        seen[name] = {r.doc_id: getattr(r, "text", None) for r in docs.collect()}
+        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len(set(range(0, 120, 2)) & set(seen["toxicity"])) < 6 and set(range(200, 302)) <= set(seen["toxicity"])
+    assert set(seen["toxicity"]) - set(seen["near_duplicates"]) == {201, 203, 301}
+    assert set(seen["near_duplicates"]) - set(seen["decontamination"]) == {205}
+    changed = {i for i, t in seen["surrogates"].items() if t != texts[i]}
+    assert changed == {207} and "Watanabe" not in seen["surrogates"][207] and set(seen["surrogates"]) == set(seen["decontamination"])
+    assert set(seen["packing"]) == set(seen["surrogates"])
+
+
 def test_short_items_with_substitutions(spark):
     """Every variant of an item of up to 14 tokens with as many substitutions as may be, and none with one more."""
     texts, items, want = [], [], set()
