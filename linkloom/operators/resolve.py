@@ -88,6 +88,17 @@ def series_by_rules(page_series: DataFrame, series: DataFrame) -> DataFrame:
     return top1(same.unionByName(short).unionByName(named), "dblp_id", F.col("rule"), F.col("seq")).select("dblp_id", "qid", "rule")
 
 
+def page_matches(events: DataFrame, parent_rows: DataFrame, venue: DataFrame, page_series: DataFrame, series: DataFrame) -> DataFrame:
+    """(id, dblp_id, series_name, series_qid, series_kind) of events that their pages resolve.
+
+    full: the page's series is a known one; page: it isn't; string: only its name is known.
+    """
+    found = resolved_events(events, parent_rows, venue).withColumnRenamed("parent_id", "dblp_id")
+    known = series_by_rules(page_series, series).select("dblp_id", F.col("qid").alias("series_qid"))
+    kind = F.when(F.col("series_qid").isNotNull(), "full").when(F.col("dblp_id").isNotNull(), "page").otherwise("string")
+    return found.join(known, "dblp_id", "left").withColumn("series_kind", kind)
+
+
 def upgraded(matches: DataFrame, known: DataFrame) -> DataFrame:
     """Page matches (event_qid, dblp_id) with the known series' qid where there is one."""
     return matches.join(known.select("dblp_id", F.col("qid").alias("series_qid")), "dblp_id", "left").withColumn("series_kind", F.when(F.col("series_qid").isNotNull(), "full").otherwise("page"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import html as H
 from .functions import text as T
-from .operators import complete, ensemble, resolve, similarity
-from .plans import learning
+from .operators import complete, ensemble, resolve, scans, similarity
+from .plans import learning, tuning
 from .sources import tables
 from .sources.tables import LITERAL_SERIES
 
@@ -730,3 +730,200 @@ def linked_titles(spark, sf):
 
     names = _names(spark, sf).withColumns({"qid": F.col("id").cast("string"), "label": F.col("text"), "title": F.col("text"), "part_of_series": F.when(F.col("id") % 2 == 1, "known")})
     return linking.link(names.filter("id % 2 = 0"), names.filter("id % 2 = 1"), required=1)["matches"].select("event", "series", "votes", "found_by")
+
+
+# Scans of statements
+_ENTITY = "http://www.wikidata.org/entity/"
+
+
+def _said(df, subject, *facts):
+    """Statements (property, value[, language]) of each row; those without a value are left out."""
+    one = lambda p, v, lang=None: F.struct(F.lit(p).alias("property"), v.cast("string").alias("value"), (F.lit(lang) if lang is None or isinstance(lang, str) else lang).cast("string").alias("lang"))
+    return df.select(subject.alias("subject"), F.explode(F.array(*[one(*f) for f in facts])).alias("s")).select("subject", "s.*").filter("value IS NOT NULL")
+
+
+def _statements(spark, sf):
+    """What could be stated of orders as proceedings, customers as events and nations as series."""
+    k, c, n = F.col("o_orderkey"), F.col("c_custkey"), F.col("n_nationkey")
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    orders = _said(
+        _read(spark, sf, "orders"), name(_ENTITY, "P", k), (scans.INSTANCE_OF, F.when(F.col("o_orderstatus") != "P", F.lit(scans.PROCEEDINGS_CLASS))), (scans.SERIES_OF, F.when(k % 5 != 0, F.lit(_ENTITY + scans.VOLUMES_SERIES))),
+        (scans.VOLUME, k), (scans.PROCEEDINGS_OF, name(_ENTITY, "C", F.col("o_custkey"))), (scans.TITLE, F.col("o_orderpriority"), F.when(k % 3 == 0, "de").otherwise("en")), (scans.DESCRIBED_AT, name("u", k)),
+        ("P1813", F.when(k % 2 == 0, name("V", k))), ("P577", F.col("o_orderdate").cast("timestamp")),
+    )
+    who = F.col("c_name")
+    events = _said(
+        _read(spark, sf, "customer"), name("C", c), (scans.LABEL, F.when(c % 7 != 0, who), "en"),
+        (scans.TITLE, F.when(c % 4 == 0, name("Meeting ", who)).when(c % 4 == 1, name("Workshop ", who)).when(c % 4 == 3, name("A Conference ", who)), "en"),
+        (scans.TITLE, F.when(c % 4 == 3, name("B Workshop ", who)), "en"), (scans.TITLE, F.when(c % 4 == 2, name("Conference ", who)), "de"),
+        (scans.INSTANCE_OF, F.when(c % 6 == 0, F.lit(scans.CONFERENCE))), (scans.INSTANCE_OF, F.when(c % 10 == 0, F.lit(_ENTITY + scans.WORKSHOP))), (scans.SERIES_OF, F.when(c % 2 == 0, name(_ENTITY, "S", F.col("c_nationkey")))),
+        (scans.ORDINAL, c % 50), ("P17", name(_ENTITY, "N", F.col("c_nationkey"))),
+    )
+    series = _said(
+        _read(spark, sf, "nation"), name("S", n), (scans.LABEL, F.when(n % 2 == 0, F.col("n_name")), "en"), (scans.TITLE, F.when(n % 3 == 0, name(F.col("n_name"), " Conference")).when(n % 3 == 1, name("Workshop ", F.col("n_name"))), "en"),
+        (scans.INSTANCE_OF, F.lit("QA")), (scans.INSTANCE_OF, F.lit(_ENTITY + "QB")), (scans.INSTANCE_OF, F.when(n % 5 == 2, F.lit(scans.WORKSHOP_SERIES))), ("P8926", name("conf/", n)),
+    )
+    return orders.unionByName(events).unionByName(series)
+
+
+_VOLUMES = """
+v AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 5 <> 0),
+e AS (SELECT 'C' || c_custkey AS qid, c_custkey AS k, c_name, c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE 'C' || c_custkey END AS label,
+  CASE c_custkey % 4 WHEN 0 THEN 'Meeting ' || c_name WHEN 1 THEN 'Workshop ' || c_name WHEN 3 THEN 'A Conference ' || c_name END AS title,
+  CASE WHEN c_custkey % 2 = 0 THEN 'S' || c_nationkey END AS part_of_series, u AS ceurws_url
+  FROM customer JOIN (SELECT c, min('u' || k) AS u FROM v GROUP BY c) ON c = c_custkey),
+s AS (SELECT 'S' || n_nationkey AS qid, n_nationkey AS k, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'S' || n_nationkey END AS label,
+  CASE n_nationkey % 3 WHEN 0 THEN n_name || ' Conference' WHEN 1 THEN 'Workshop ' || n_name END AS title
+  FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM e WHERE k % 2 = 0))"""
+
+
+@query(f"WITH {_VOLUMES} SELECT qid, label, title, part_of_series, 'N' || c_nationkey AS country, CAST(k % 50 AS INTEGER) AS ordinal, ceurws_url FROM e")
+def event_scan(spark, sf):
+    """Events of volumes with one value of each property."""
+    return scans.all_of(scans.event_scan(_statements(spark, sf))).select("qid", "label", "title", "part_of_series", "country", "ordinal", "ceurws_url")
+
+
+@query(f"""WITH {_VOLUMES} SELECT 'CONFERENCE' AS type, qid, title FROM e WHERE k % 4 = 3 OR (k % 4 = 0 AND k % 6 = 0)
+UNION ALL SELECT 'WORKSHOP', qid, CASE WHEN k % 4 = 3 THEN 'B Workshop ' || c_name ELSE title END FROM e WHERE k % 4 IN (1, 3) OR k % 10 = 0""")
+def typed_event_scan(spark, sf):
+    """Conferences and workshops by their titles or their class."""
+    found = scans.event_scan(_statements(spark, sf))
+    return scans.conferences(found).unionByName(scans.workshops(found)).select("type", "qid", "title")
+
+
+@query(f"WITH {_VOLUMES} SELECT qid, label, title, 'conf/' || k AS dblp_id, CASE WHEN k % 5 = 2 THEN 'Q47459256 QA QB' ELSE 'QA QB' END AS instance_of FROM s")
+def series_scan(spark, sf):
+    """Series of the events of volumes; classes as a set."""
+    found = scans.all_of(scans.series_scan(_statements(spark, sf)))
+    return found.select("qid", "label", "title", "dblp_id", F.array_join(F.array_sort("instance_of"), " ").alias("instance_of"))
+
+
+@query(f"""WITH {_VOLUMES} SELECT 'CONFERENCE' AS type, qid, title FROM s WHERE k % 3 = 0
+UNION ALL SELECT 'WORKSHOP', qid, title FROM s WHERE k % 3 = 1 OR k % 5 = 2""")
+def typed_series_scan(spark, sf):
+    found = scans.series_scan(_statements(spark, sf))
+    return scans.conferences(found, scans.CONFERENCE_SERIES).unionByName(scans.workshops(found, scans.WORKSHOP_SERIES)).select("type", "qid", "title")
+
+
+@query(f"""WITH {_VOLUMES} SELECT 'P' || k AS qid, 'P' || k AS label, 'C' || c AS event, CAST(k AS INTEGER) AS volume_number, o_orderpriority AS title,
+  CASE WHEN k % 2 = 0 THEN 'V' || k END AS acronym, CAST(year(o_orderdate) AS INTEGER) AS year FROM v WHERE k % 3 <> 0""")
+def proceedings_scan(spark, sf):
+    """Volumes with a title in the language."""
+    return scans.proceedings_scan(_statements(spark, sf)).select("qid", "label", "event", "volume_number", "title", "acronym", F.year("pub_date").alias("year"))
+
+
+@query(f"WITH {_VOLUMES} SELECT 'event' AS kind, qid, label, title FROM e UNION ALL SELECT 'series', qid, label, title FROM s")
+def chained_items(spark, sf):
+    """Events and then series by the columns that both have."""
+    said = _statements(spark, sf)
+    return scans.chained(event=scans.all_of(scans.event_scan(said)), series=scans.all_of(scans.series_scan(said))).select("kind", "qid", "label", "title")
+
+
+@query(f"WITH {_VOLUMES} SELECT qid, label FROM e WHERE k % 2 <> 0 ORDER BY label, qid LIMIT 30")
+def events_without_series(spark, sf):
+    """The report of the first 30 events without a series."""
+    return scans.head(complete.without_parent(scans.all_of(scans.event_scan(_statements(spark, sf)))), 30, "label", "qid").select("qid", "label")
+
+
+@query("""SELECT c_name AS event_title, CASE WHEN c_custkey % 3 <> 0 THEN 'Name ' || c_custkey WHEN s_suppkey % 2 = 0 THEN 'T ' || s_name ELSE s_name END AS series_title
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 50 WHERE (c_custkey % 3 = 0 AND s_suppkey IS NOT NULL) OR (c_custkey % 3 <> 0 AND c_custkey % 9 <> 1)""")
+def training_titles(spark, sf):
+    """Pairs of titles of full matches and of such as are known by name only."""
+    c, s, k = _read(spark, sf, "customer"), _read(spark, sf, "supplier"), F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "full").when(k % 3 == 1, "page").otherwise("string")
+    log = c.select(k.alias("event_qid"), kind.alias("series_kind"), F.when(k % 3 == 0, k % 50).alias("series_qid"), F.when(k % 9 == 1, "").otherwise(F.concat(F.lit("Name "), k.cast("string"))).alias("series_name"))
+    events = c.select(k.alias("qid"), F.col("c_name").alias("title"), F.lit("unused").alias("label"))
+    series = s.select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("T "), F.col("s_name"))).alias("title"), F.col("s_name").alias("label"))
+    return scans.matched_titles(log, events, series)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'conf/w/' || c_custkey AS id,
+  CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 3 = 1 THEN 'conf/venue' END
+    ELSE CASE c_custkey % 3 WHEN 0 THEN 'conf/only' WHEN 1 THEN CASE WHEN 1990 + c_custkey % 20 >= 1995 THEN 'conf/swat' END ELSE 'conf/abc' END END AS dblp_id FROM customer)
+SELECT id, dblp_id, CASE dblp_id WHEN 'conf/only' THEN 'Q0' WHEN 'conf/swat' THEN 'Q1' WHEN 'conf/abc' THEN 'Q2' END AS series_qid,
+  CASE WHEN dblp_id = 'conf/venue' THEN 'page' ELSE 'full' END AS series_kind FROM c WHERE dblp_id IS NOT NULL""")
+def page_matches(spark, sf):
+    """Page events by their type's rules, and their series by id, abbreviation or name."""
+    k = F.col("c_custkey")
+    c = _read(spark, sf, "customer").select(k, F.concat(F.lit("conf/w/"), k.cast("string")).alias("id"))
+    kind = F.when(k % 5 == 0, "CONFERENCE").when(k % 5 == 1, "UNKNOWN").otherwise("WORKSHOP")
+    events = c.select("id", F.when(k % 3 == 0, "S").when(k % 3 == 1, "SWAT@VENUE").otherwise("ABC@X").alias("title"), (1990 + k % 20).cast("int").alias("year"), kind.alias("type"))
+    row = lambda id_, name: F.struct(F.lit(id_).alias("dblp_id"), F.lit(name).alias("name"))
+    several = F.array(row("conf/abc", "Workshop ABC"), row("conf/q", "Workshop Q"))
+    up = resolve.parents(c.select("id", F.when(k % 3 == 0, F.array(row("conf/only", "A Workshop"))).when(k % 3 == 1, F.array(row("conf/venue", "Venue"))).otherwise(several).alias("parents")))
+    since = F.struct(F.lit(1995).alias("since"), F.lit(None).cast("int").alias("until"), F.array().cast("array<int>").alias("years"))
+    r = _read(spark, sf, "region").select("r_regionkey")
+    venue = r.filter("r_regionkey = 0").select(F.lit("conf/venue").alias("series_id"), F.lit("SWAT Workshop").alias("name"), F.lit("conf/swat").alias("reference"), since.alias("years"))
+    pick = lambda *values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("r_regionkey").cast("int"))
+    pages = r.filter("r_regionkey < 4").select(pick("conf/only", "conf/swat", "conf/abc", "conf/venue").alias("dblp_id"), pick("Unlike", "SWAT Workshop", "Other", "Nowhere").alias("name"), pick(None, "S", "ABC", "V").alias("abbreviation"))
+    known = r.filter("r_regionkey < 3").select(
+        F.concat(F.lit("Q"), F.col("r_regionkey").cast("string")).alias("qid"), F.col("r_regionkey").alias("seq"), pick("conf/only", None, None).alias("dblp_id"),
+        pick("Only", "The SWAT Workshop", "Alphabet").alias("title"), pick("Only", "Label", "Label").alias("label"), pick(None, None, "ABC").alias("acronym"),
+    )
+    return resolve.page_matches(events, up, venue, pages, known).select("id", "dblp_id", "series_qid", "series_kind")
+
+
+# Fitting
+_KINDS = """names AS (SELECT p_name AS text, min(p_partkey) AS id FROM part GROUP BY p_name),
+truth AS (SELECT id AS event, first_value(id) OVER (PARTITION BY split_part(text, ' ', 2) ORDER BY id) AS truth FROM names)"""
+
+
+def _kinds(spark, sf):
+    """Names as events and series; the right series is the least name of the same kind."""
+    names = _names(spark, sf)
+    kind = Window.partitionBy(F.substring_index("text", " ", -1)).orderBy("id")
+    return names.select("id", "text"), names.select(F.col("id").alias("event"), F.first("id").over(kind).alias("truth"))
+
+
+_SCORES = 'round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1'
+_SIZES = f"""WITH {_KINDS},
+g AS (SELECT n, id, list_distinct(list_transform(range(1, length(text) - n + 2), lambda i : substr(text, i, n))) AS g FROM names, (SELECT unnest([3, 4, 5]) AS n)),
+pairs AS (SELECT a.n, a.id AS event, b.id AS predicted, 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) AS s FROM g a JOIN g b ON a.n = b.n),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, event ORDER BY s DESC, predicted) AS r FROM pairs WHERE s >= 0.6) WHERE r = 1),
+points AS (SELECT n, t::DOUBLE AS threshold FROM (SELECT unnest([3, 4, 5]) AS n), (SELECT unnest([0.8, 0.7, 0.6]) AS t)),
+c AS (SELECT points.n, threshold, count(*) FILTER (s >= threshold AND predicted = truth) AS tp, count(*) FILTER (s >= threshold AND predicted <> truth) AS fp,
+  count(*) FILTER (s IS NULL OR s < threshold) AS fn FROM points CROSS JOIN truth LEFT JOIN best ON best.n = points.n AND best.event = truth.event GROUP BY ALL),
+m AS (SELECT CAST(n AS INTEGER) AS n, threshold, tp, fp, fn, {_SCORES} FROM c)"""
+
+
+@query(f"{_SIZES} SELECT * FROM m")
+def ngram_size_grid(spark, sf):
+    """Sizes of grams by thresholds."""
+    names, truth = _kinds(spark, sf)
+    return tuning.ngram_grid(names, names, truth).drop("place")
+
+
+@query(f"{_SIZES} SELECT * FROM m ORDER BY coalesce(f1, -1) DESC, n, threshold DESC LIMIT 1")
+def ngram_size_best(spark, sf):
+    names, truth = _kinds(spark, sf)
+    return tuning.best_point(tuning.ngram_grid(names, names, truth)).drop("place")
+
+
+@query(rf"""WITH {_KINDS},
+sides AS (SELECT 0 AS side, id, text FROM names UNION ALL SELECT 1, id, text FROM names),
+t AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM sides),
+tf AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT side, id, term, tf * (ln((1 + (SELECT count(*) FROM sides)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)),
+w AS (SELECT side, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS w FROM x),
+hits AS (SELECT a.id AS event, b.id AS predicted, round(sum(a.w * b.w), 9) AS s FROM w a JOIN w b ON a.term = b.term AND a.side = 0 AND b.side = 1 GROUP BY 1, 2),
+c AS (SELECT t::DOUBLE AS threshold, count(*) FILTER (s >= t AND predicted = truth) AS tp, count(*) FILTER (s >= t AND predicted <> truth) AS fp, (SELECT count(*) FROM truth) AS events
+  FROM (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS t) CROSS JOIN (hits JOIN truth USING (event)) GROUP BY t),
+d AS (SELECT threshold, tp, fp, events - tp - fp AS fn FROM c)
+SELECT *, {_SCORES} FROM d""")
+def tfidf_grid(spark, sf):
+    """Thresholds of TF-IDF; every hit counts."""
+    names, truth = _kinds(spark, sf)
+    return tuning.tfidf_grid(names, names, truth, stop=()).drop("place")
+
+
+@query(f"""WITH {_PHRASE},
+truth AS (SELECT doc_id, min(item_id) AS truth FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id),
+c AS (SELECT count(*) FILTER (item_id = truth) AS tp, count(*) FILTER (item_id <> truth) AS fp, (SELECT count(*) FROM truth) AS n FROM phrases JOIN truth USING (doc_id)),
+d AS (SELECT tp, fp, n - tp - fp AS fn FROM c)
+SELECT *, {_SCORES} FROM d""")
+def span_accuracy(spark, sf):
+    """All found passages against the first that a document contains."""
+    texts, items = _texts(spark, sf), _texts(spark, sf, "benchmark", "item_id")
+    truth = similarity.containment_pairs(texts, items).groupBy(F.col("l_id").alias("event")).agg(F.min("r_id").alias("truth"))
+    return tuning.span_accuracy(_phrases(spark, sf).select(F.col("l_id").alias("event"), F.col("r_id").alias("predicted")), truth)
