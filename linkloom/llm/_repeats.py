@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,33 +100,35 @@ def small(batches, text: int):
             yield b.slice(first, last - first)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, bits: Marker) -> tuple[DataFrame, DataFrame]:
-    """(documents with their spans, documents that can't have any).
+def cut_spans(docs: DataFrame, spans: DataFrame, bits: Marker, cut, schema: str) -> DataFrame:
+    """``cut`` (batches of id, text and, where there can be spans, starts and ends, to batches of schema) over all documents.
 
-    docs: id, text; spans: id, part, starts, ends. Only texts whose id is marked in bits are
-    shuffled to meet their spans.
+    docs: id, text; spans: id, part, starts[, ends]. Only texts whose id is marked in bits are
+    shuffled to meet their spans; the others are cut where they are read, by the same worker
+    that tells them apart, so that a task never has two.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def flag(batches):
-        import pyarrow as pa
-
+    def with_mark(batches, wanted: bool):
         from ._text import mix
 
         for b in small(batches, 1):
             ids = b.column(0)
             hit = marked(shared.value, mix(ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit)], ["id", "text", "hit"])
+            yield b.filter(pa.array(hit == wanted))
+
+    def hits(batches):
+        yield from with_mark(batches, True)
 
-    flagged = docs.mapInArrow(flag, "id long, text string, hit boolean")
-    hit = flagged.filter("hit").drop("hit").withColumn("part", part_of(F.col("text")))
-    return hit.join(spans, ["id", "part"], "left").drop("part"), flagged.filter("not hit").drop("hit")
+    def rest(batches):
+        yield from cut(with_mark(batches, False))
+
+    near = docs.mapInArrow(hits, "id long, text string").withColumn("part", part_of(F.col("text")))
+    return near.join(spans, ["id", "part"], "left").drop("part").mapInArrow(cut, schema).unionByName(docs.mapInArrow(rest, schema))
 
 
 def mark_ids(df: DataFrame) -> Marker:
     """The bitmap of the distinct ids of df, by their mixed value."""
-    import pyarrow as pa
-
     from ._text import mix, signed
 
     def hashed(batches):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Marker, covered, mark, mark_ids, marked, named, part_of, runs, small, with_spans
+from ._repeats import Marker, covered, cut_spans, mark, mark_ids, marked, named, part_of, runs, small
 from ._scratch import Scratch
 from ._text import Words, chunks, prefix_sums, room, signed, window_hashes
 
@@ -104,7 +104,6 @@ def remove_repeated_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = repeated_words(docs, size).groupBy("id", "part").agg(F.collect_list("start").alias("starts"))
     found = Scratch(spark, "substring").save(found, "starts")
-    hit, rest = with_spans(docs, found, mark_ids(found))
     schema = "id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -128,4 +127,4 @@ def remove_repeated_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], span), pa.array(cols[3], pa.string())], ["id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return hit.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))
+    return cut_spans(docs, found, mark_ids(found), cut, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import covered, mark, mark_ids, marked, named, part_of, runs, small, with_spans
+from ._repeats import covered, cut_spans, mark, mark_ids, marked, named, part_of, runs, small
 from ._scratch import Scratch
 from ._text import byte_sums, chunks, prefix_sums, signed, span_hashes, window_hashes
 
@@ -268,7 +268,6 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 100, id_col: str = "doc_i
     found = repeated_bytes(docs, size).groupBy("id", "part").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     found = found.select("id", "part", F.col("found.start").alias("starts"), F.col("found.end").alias("ends"))
     found = Scratch(spark, "suffix").save(found, "spans")
-    hit, rest = with_spans(docs, found, mark_ids(found))
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -288,4 +287,4 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 100, id_col: str = "doc_i
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], span), pa.array(cols[3], pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return hit.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))
+    return cut_spans(docs, found, mark_ids(found), cut, schema)
