@@ -4,7 +4,8 @@ Level by level the length doubles up to the full window (13, 25 and 50 words for
 each level a window stands for itself by the k-gram it names (see ``_repeats``), k being the
 level's length. Only windows whose k-gram several documents hold are extended to twice the
 length; the last level counts the whole windows that survived. No level drops a window that
-repeats, and each reads all texts again, so no table of positions is carried along.
+repeats, and each reads all texts again, so no table of positions is carried along. Rows of
+hot windows meet their first document by a broadcast of bounded size, all others by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ._text import Words, chunks, prefix_sums, room, signed, window_hashes
 
 #: The shortest level.
 LEAST = 12
+#: A window is hot if it holds more than one in so many of the rows; there are fewer hot windows than this.
+HOT = 10_000
 
 
 def levels(size: int) -> list[int]:
@@ -86,8 +89,11 @@ def repeated_words(docs: DataFrame, size: int = 50) -> DataFrame:
 
     found = own.mapInArrow(windows, "h long, id long, part long, start int")
     found = Scratch(spark, "substring").save(found, "windows")
-    earliest = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h", "a")
-    return found.join(earliest, "h").filter("a < id").select("id", "part", "start")
+    seen = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
+    is_hot = F.col("n") > found.count() // HOT
+    hot = F.broadcast(seen.filter(is_hot).select("h", "a"))
+    cold = found.join(hot, "h", "left_anti").join(seen.filter(~is_hot).select("h", "a"), "h")
+    return found.join(hot, "h").unionByName(cold).filter("a < id").select("id", "part", "start")
 
 
 def remove_repeated_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

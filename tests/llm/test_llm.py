@@ -50,8 +50,9 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-@pytest.mark.parametrize("size", [20, 50])
-def test_words_removed_by_windows(spark, docs, none, size):
+@pytest.mark.parametrize("size, hot", [(20, 10_000), (50, 10_000), (50, 1), (50, 60)])
+def test_words_removed_by_windows(spark, docs, none, monkeypatch, size, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = [(d, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for d, t, *_ in corpus()]
     first = {}
     for d, w in rows:
