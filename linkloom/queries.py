@@ -90,10 +90,10 @@ def unmatched_anti(spark, sf):
 
 _PHRASE = r"""
 t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t FROM documents),
-p AS (SELECT item_id, list_slice(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), 1, 5) AS p FROM benchmark),
+p AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS p FROM benchmark),
 hits AS (
-  SELECT doc_id, item_id, CAST(unnest(range(0, len(t) - 4)) AS INTEGER) AS start, t, p FROM t, p WHERE len(t) >= 5 AND list_has_all(t, p)),
-phrases AS (SELECT doc_id, item_id, start FROM hits WHERE t[start + 1 : start + 5] = p)"""
+  SELECT doc_id, item_id, CAST(unnest(range(0, len(t) - len(p) + 1)) AS INTEGER) AS start, t, p FROM t, p WHERE len(p) > 0 AND len(t) >= len(p) AND list_has_all(t, p)),
+phrases AS (SELECT doc_id, item_id, start FROM hits WHERE t[start + 1 : start + len(p)] = p)"""
 
 
 def _phrases(spark, sf):
