@@ -18,7 +18,7 @@ side by side, one step at a time.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # class by state
+    before: float | None = None  # log10 likelihood of the model that this one was made from
 
     @staticmethod
     def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, corpus: np.ndarray) -> Model:
@@ -239,8 +240,8 @@ def _start(classes: Classes) -> Model:
     return Model.from_counts(np.ones(STATES), stay, emit, corpus)
 
 
-def _pass(encoded: DataFrame, m: Model, classes: Classes) -> tuple[Model, float]:
-    """One Baum-Welch pass over all training sequences: the new model, and the log10 likelihood of the old one."""
+def _pass(encoded: DataFrame, m: Model, classes: Classes) -> Model:
+    """One Baum-Welch pass over all training sequences; the new model knows the log10 likelihood of the old one."""
     shared = encoded.sparkSession.sparkContext.broadcast(m)
     size = classes.size
 
@@ -260,9 +261,10 @@ def _pass(encoded: DataFrame, m: Model, classes: Classes) -> tuple[Model, float]
     rows = summed(parts, np.float32, tasks)
     got = {r["chunk"]: np.frombuffer(bytes(r["counts"])) for r in rows.collect()}  # (HEAD + TAIL) * STATES numbers
     if not got:
-        return m, 0.0
+        return m
     emit = np.concatenate([got[i] for i in range(-(-size // _CHUNK))]).reshape(size, STATES)
-    return Model.from_counts(got[-1], got[-2].reshape(STATES, STATES), emit, classes.weights()), float(got[-3][0])
+    new = Model.from_counts(got[-1], got[-2].reshape(STATES, STATES), emit, classes.weights())
+    return replace(new, before=float(got[-3][0]))
 
 
 def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
@@ -317,12 +319,11 @@ def hmm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     encoded = own.mapInArrow(encode, f"id {kind}, train boolean, ids binary, rare binary").withColumn("row", F.monotonically_increasing_id())
     encoded = scratch.save(encoded, "encoded")
-    model, before = _start(classes), -np.inf
+    model = _start(classes)
     for _ in range(passes):
-        model, loglik = _pass(encoded, model, classes)
-        if loglik - before < GAIN * classes.train_tokens:
+        last, model = model.before, _pass(encoded, model, classes)
+        if last is not None and model.before - last < GAIN * classes.train_tokens:
             break
-        before = loglik
     trained = spark.sparkContext.broadcast((model, classes))
 
     def score(batches):
