@@ -17,7 +17,8 @@ Suffix order. The dictionary is dealt out by trigger; each task sorts the suffix
 phrases to the depth of ``size`` bytes (prefix doubling: 8, 16, 32, ... bytes), which puts
 equal strings side by side, and the parse says which of them starts first in the corpus. A
 trigger with very many phrases isn't sorted in one task: its strings are dealt out one by
-one instead.
+one instead. Two bitmaps of bounded size say which way a trigger goes; either gives the same
+spans, so triggers that share a bit lose nothing.
 
 Phrases whose trigger occurs once can't repeat; a bitmap of bounded size drops nearly all of
 them before they are shuffled, and the sort drops the rest.
@@ -134,7 +135,7 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
     # Every other occurrence of a run repeats its first one whole.
     later = (F.col("id") > F.col("first_id")) | ((F.col("id") == F.col("first_id")) & (F.col("start") > F.col("first_start")))
     copies = parsed.select(*name, "id", "part", "start").join(firsts.filter("n > 1").drop("n", "first_part"), name)
-    copies = copies.filter(later).select("id", "part", "start", (F.col("start") + F.col("n_bytes")).alias("end"))
+    copies = scratch.save(copies.filter(later).select("id", "part", "start", (F.col("start") + F.col("n_bytes")).alias("end")), "copies")
 
     # The dictionary: the phrases of each run's first occurrence.
     place = firsts.select("name", "check", F.col("first_id").alias("id"), F.col("first_part").alias("part"), F.col("first_start").alias("start"))
@@ -155,11 +156,21 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
 
     dictionary = runs_.select("bytes", "triggers", "firsts", "lasts", "id", "part", "start").mapInArrow(phrases, "trigger long, phrase binary, id long, part long, start long")
     dictionary = scratch.save(dictionary, "dictionary")
+    scratch.drop("parse", "firsts")
     several = scratch.save(dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).filter("phrases > 1"), "several")
-    dictionary = dictionary.join(several, "trigger")
+    # A trigger goes one way whole, whatever bits it shares, so the phrases needn't meet their counts.
+    some = spark.sparkContext.broadcast(mark(several, "trigger"))
+    hot = spark.sparkContext.broadcast(mark(several.filter(F.col("phrases") > PHRASES), "trigger"))
 
-    sort = dictionary.filter(F.col("phrases") <= PHRASES).select("trigger", "phrase", "id", "part", "start")
-    sorted_ = sort.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorter(size), "id long, part long, start long, end long")
+    def of(is_hot: bool):
+        def chosen(batches):
+            for b in batches:
+                trigger = b.column(0).to_numpy().view(np.uint64)
+                yield b.filter(pa.array(marked(hot.value, trigger) if is_hot else marked(some.value, trigger) & ~marked(hot.value, trigger)))
+
+        return dictionary.mapInArrow(chosen, dictionary.schema)
+
+    sorted_ = of(False).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorter(size), "id long, part long, start long, end long")
 
     def strings(batches):
         for b in batches:
@@ -170,7 +181,7 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([signed(h), pa.array(np.full(n, ids[i])), pa.array(np.full(n, parts[i])), pa.array(starts[i] + np.arange(n))], ["h", "id", "part", "start"])
 
-    single = dictionary.filter(F.col("phrases") > PHRASES).select("phrase", "id", "part", "start").mapInArrow(strings, "h long, id long, part long, start long")
+    single = of(True).select("phrase", "id", "part", "start").mapInArrow(strings, "h long, id long, part long, start long")
     single = scratch.save(single, "strings")
     earliest = single.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     earliest = earliest.select("h", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
