@@ -162,26 +162,28 @@ def repeated_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
     some = spark.sparkContext.broadcast(mark(several, "trigger"))
     hot = spark.sparkContext.broadcast(mark(several.filter(F.col("phrases") > PHRASES), "trigger"))
 
-    def of(is_hot: bool):
-        def chosen(batches):
-            for b in batches:
-                trigger = b.column(0).to_numpy().view(np.uint64)
-                yield b.filter(pa.array(marked(hot.value, trigger) if is_hot else marked(some.value, trigger) & ~marked(hot.value, trigger)))
+    def ways(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        trigger = b.column(0).to_numpy().view(np.uint64)
+        return marked(some.value, trigger), marked(hot.value, trigger)
 
-        return dictionary.mapInArrow(chosen, dictionary.schema)
+    def sort(batches):
+        for b in batches:
+            repeated, single = ways(b)
+            yield b.filter(pa.array(repeated & ~single))
 
-    sorted_ = of(False).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorter(size), "id long, part long, start long, end long")
+    sorted_ = dictionary.mapInArrow(sort, dictionary.schema).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorter(size), "id long, part long, start long, end long")
 
     def strings(batches):
         for b in batches:
-            ids, parts, starts = (b.column(i).to_numpy() for i in (1, 2, 3))
-            for i, p in enumerate(b.column(0)):
+            b = b.filter(pa.array(ways(b)[1]))
+            ids, parts, starts = (b.column(i).to_numpy() for i in (2, 3, 4))
+            for i, p in enumerate(b.column(1)):
                 data = np.frombuffer(p.as_py(), np.uint8)
                 h = window_hashes(byte_sums(data), size)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([signed(h), pa.array(np.full(n, ids[i])), pa.array(np.full(n, parts[i])), pa.array(starts[i] + np.arange(n))], ["h", "id", "part", "start"])
 
-    single = of(True).select("phrase", "id", "part", "start").mapInArrow(strings, "h long, id long, part long, start long")
+    single = dictionary.mapInArrow(strings, "h long, id long, part long, start long")
     single = scratch.save(single, "strings")
     earliest = single.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     earliest = earliest.select("h", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
@@ -234,13 +236,20 @@ def _sorter(size: int):
         # Phrases of which no string's hash comes twice can't repeat.
         kept = np.sort(order[head])
         n = lengths[kept] - size + 1
-        of = np.repeat(kept, n)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        hashes = window_hashes(sums, size)[bounds[of] + at]
-        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        some = np.unique(of[count[back] > 1])
-        if len(some):
-            yield from _sorted([phrases[i] for i in some], place[some], size)
+        before = np.cumsum(n) - n
+        at = np.repeat(bounds[kept] - before, n)
+        at += np.arange(len(at))
+        hashes = window_hashes(sums, size)[at]
+        del at
+        ordered = np.sort(hashes)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        del ordered
+        if not len(twice):
+            return
+        again = twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+        some = kept[np.logical_or.reduceat(again, before)]
+        del hashes, again, sums
+        yield from _sorted([phrases[i] for i in some], place[some], size)
 
     def run(batches):
         last, phrases, places, held = None, [], [], 0
