@@ -153,7 +153,7 @@ def _grams(t: Column, n: int) -> Column:
 def cosine_top1(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
     """(l_id, r_id, score): for each (id, vec) of left the most similar of right, another id, ties to the smaller.
 
-    The stated right side is broadcast if it is small, else dealt out in blocks.
+    Every left row meets every right row: a nested loop, meant for a right side small enough to be broadcast.
     """
     a = left.select(F.col("id").alias("l_id"), F.col("vec").alias("a"))
     b = right.select(F.col("id").alias("r_id"), F.col("vec").alias("b"))
