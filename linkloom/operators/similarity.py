@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import nearest
 
 #: Rows of a side that is broadcast at most.
 SMALL = 200_000
@@ -153,13 +154,9 @@ def _grams(t: Column, n: int) -> Column:
 def cosine_top1(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
     """(l_id, r_id, score): for each (id, vec) of left the most similar of right, another id, ties to the smaller.
 
-    Every left row meets every right row: a nested loop, meant for a right side small enough to be broadcast.
+    Every left vector meets every right one, in matrix products.
     """
-    a = left.select(F.col("id").alias("l_id"), F.col("vec").alias("a"))
-    b = right.select(F.col("id").alias("r_id"), F.col("vec").alias("b"))
-    pairs = a.join(broadcast_if_small(b), F.col("l_id") != F.col("r_id")).withColumn("score", F.round(T.cosine(F.col("a"), F.col("b")), 6))
-    best = pairs.groupBy("l_id").agg(F.max(F.struct(F.col("score"), (-F.col("r_id")).alias("less"))).alias("m"))
-    out = best.select("l_id", (-F.col("m.less")).alias("r_id"), F.col("m.score").alias("score"))
+    out = nearest.top1(left, right)
     return out if threshold is None else out.filter(F.col("score") > threshold)
 
 

@@ -1,6 +1,8 @@
 """Joins, rules, votes and patches on small rows, against brute force where that is plain."""
 
+import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 from itertools import product
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
-from linkloom.operators import complete, ensemble, resolve, similarity
+from linkloom.operators import complete, ensemble, nearest, resolve, similarity
 
 
 @pytest.mark.parametrize("measure,threshold", [("dice", Fraction(3, 5)), ("jaccard", Fraction(1, 2)), ("dice", Fraction(1))])
@@ -108,3 +110,48 @@ def test_types(spark):
     rows = spark.createDataFrame([("A Workshop Conference", False), ("B Conference", False), (None, True), ("C", False)], "t string, i boolean")
     kind = complete.resolved_type(complete.is_conference(F.col("t"), F.col("i")), complete.is_workshop(F.col("t"), F.col("i")))
     assert [r[0] for r in rows.select(kind).collect()] == ["WORKSHOP", "CONFERENCE", "WORKSHOP", "UNKNOWN"]
+
+
+def _cosines(rows):
+    """{l_id: (r_id, score)} by brute force, scores rounded half away from zero."""
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y)), 0.0)
+        norms = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return 0.0 if norms == 0 else float(Decimal(dot(a, b) / norms).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if math.isfinite(norms) else math.nan
+
+    best = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i is not None and j is not None and i != j:
+                s = score(a, b)
+                key = (-2.0 if s is None else 2.0 if s != s else s, [-j])
+                best[i] = max(best.get(i, (-9.0, [0], None)), (*key, s))
+    return {i: (-j[0], repr(s)) for i, (_, j, s) in best.items()}
+
+
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_most_similar_vectors(spark, monkeypatch, chunks):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(0, 300, 2)]
+    rows += [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 300, 2)]
+    rows += [(i, [0.3, 0.1, -0.7, 2.0]) for i in range(400, 440)] + [(500, None), (501, [1.0, None, 2.0, 1.0]), (None, [1.0] * 4), (502, [1.0, 2.0]), (503, [2.0, 4.1])]
+    rows += [(600, [1e-120, 2e-120, 0.0, 0.0]), (601, [1e120, 0.0, -1e120, 0.0]), (7, [5.0, 5.0, 4.9, -3.0])]
+    monkeypatch.setattr(nearest, "LEAST", 1000 if chunks == 1 else 120)
+    for more in ([], [(700, [math.nan, 1.0, 1.0, 1.0]), (701, [math.inf, 1.0, 1.0, 1.0])]):
+        df = spark.createDataFrame(rows + more, "id long, vec array<double>").repartition(3)
+        assert {r.l_id: (r.r_id, repr(r.score)) for r in similarity.cosine_top1(df, df).collect()} == _cosines(rows + more)
+
+
+def test_most_similar_vectors_have_no_row_by_row_loop(spark):
+    """Twelve million pairs, by products."""
+    near = spark.range(3500).select(F.col("id").cast("string").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: F.sin(F.col("id") * x + x * x)).alias("vec"))
+    out = similarity.cosine_top1(near, near, 0.5)
+    assert out.schema["r_id"].dataType.simpleString() == "string" and "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    assert out.filter("l_id = r_id or score <= 0.5").count() == 0
+
+
+def test_vectors_without_another(spark):
+    one = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "id long, vec array<double>")
+    assert similarity.cosine_top1(one, one).count() == 0 and similarity.cosine_top1(one.limit(0), one).count() == 0
