@@ -74,18 +74,49 @@ def resolved_events(events: DataFrame, parent_rows: DataFrame, venue: DataFrame)
     return conferences.select("id", "parent_id", "series_name").unionByName(shops.select("id", "parent_id", "series_name"))
 
 
+#: Characters of the piece by which a name is looked up in texts; shorter names are looked up whole.
+PIECE = 4
+
+
+def first_holding(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, first): each of names (name) that a text of texts (text, first) contains, with the least first of those texts.
+
+    A name is looked up by the piece of it that the fewest texts hold, then compared whole; a
+    name with a piece that no text holds has none. Names under PIECE characters are pieces themselves.
+    """
+    names = names.filter(F.col("name").isNotNull()).select("name").distinct()
+    texts = texts.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("first").alias("first"))
+    pieces = texts.select("text", "first", F.explode(T.char_ngrams(F.col("text"), PIECE)).alias("piece"))
+    held = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = names.filter(F.length("name") >= PIECE).select("name", F.explode(T.char_ngrams(F.col("name"), PIECE)).alias("piece"))
+    asked = asked.join(broadcast_if_small(held), "piece", "left")
+    rarest = asked.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p")).filter("p.n > 0").select("name", F.col("p.piece").alias("piece"))
+    found = rarest.join(pieces, "piece").filter(F.contains("text", "name")).select("name", "first")
+    whole = F.concat(F.array(F.lit("")), *[T.char_ngrams(F.col("text"), n) for n in range(1, PIECE)])
+    short = texts.select(F.explode(whole).alias("name"), "first").groupBy("name").agg(F.min("first").alias("first"))
+    return found.groupBy("name").agg(F.min("first").alias("first")).unionByName(names.filter(F.length("name") < PIECE).join(short, "name"))
+
+
 def series_by_rules(page_series: DataFrame, series: DataFrame) -> DataFrame:
     """(dblp_id, qid, rule): page series (dblp_id, name, abbreviation) and the first known series (qid, seq, dblp_id, title, label, acronym).
 
     0: equal ids. Else the first series in order with the name in its title, the
-    abbreviation as its acronym, or the name in its label.
+    abbreviation as its acronym, or the name in its label. Series without a seq come last.
     """
-    p, s = page_series.alias("p"), series.alias("s")
-    same = p.join(s, F.col("p.dblp_id") == F.col("s.dblp_id")).select(F.col("p.dblp_id").alias("dblp_id"), "s.qid", "s.seq", F.lit(0).alias("rule"))
-    short = p.join(s, F.col("p.abbreviation") == F.col("s.acronym")).select(F.col("p.dblp_id").alias("dblp_id"), "s.qid", "s.seq", F.lit(1).alias("rule"))
-    inside = F.contains("s.title", F.col("p.name")) | F.contains("s.label", F.col("p.name"))
-    named = p.join(broadcast_if_small(series).alias("s"), inside).select(F.col("p.dblp_id").alias("dblp_id"), "s.qid", "s.seq", F.lit(1).alias("rule"))
-    return top1(same.unionByName(short).unionByName(named), "dblp_id", F.col("rule"), F.col("seq")).select("dblp_id", "qid", "rule")
+    first = F.struct(F.col("seq").isNull().alias("late"), "seq", "qid")
+
+    def by(key: str, name: str) -> DataFrame:
+        return series.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.min(first).alias(f"by_{name}"))
+
+    p = page_series.select("dblp_id", "name", "abbreviation").join(by("dblp_id", "dblp_id"), "dblp_id", "left")
+    p = p.select("dblp_id", "by_dblp_id", *[F.when(F.col("by_dblp_id").isNull(), F.col(c)).alias(c) for c in ("name", "abbreviation")])
+    texts = series.select(F.explode(F.array("title", "label")).alias("text"), first.alias("first"))
+    named = first_holding(p.select("name"), texts).withColumnRenamed("first", "by_name")
+    p = p.join(by("acronym", "abbreviation"), "abbreviation", "left").join(named, "name", "left")
+    rule = F.when(F.col("by_dblp_id").isNull(), 1).otherwise(0)
+    p = p.select("dblp_id", rule.alias("rule"), F.coalesce("by_dblp_id", F.least("by_abbreviation", "by_name")).alias("first")).filter(F.col("first").isNotNull())
+    best = p.groupBy("dblp_id").agg(F.min(F.struct("rule", "first")).alias("m"))
+    return best.select("dblp_id", F.col("m.first.qid").alias("qid"), F.col("m.rule").alias("rule"))
 
 
 def page_matches(events: DataFrame, parent_rows: DataFrame, venue: DataFrame, page_series: DataFrame, series: DataFrame) -> DataFrame:

@@ -112,6 +112,25 @@ def test_types(spark):
     assert [r[0] for r in rows.select(kind).collect()] == ["WORKSHOP", "CONFERENCE", "WORKSHOP", "UNKNOWN"]
 
 
+def test_series_by_rules(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    known = [(f"Q{i}", rng.choice([None, i // 3, 50 - i]), rng.choice([None, f"d{i % 9}"]), rng.choice([None, word(12)]), rng.choice([None, word(9)]), rng.choice([None, "", "A", "B"])) for i in range(60)]
+    pages = [(rng.choice([None, f"d{i % 40}"]), rng.choice([None, "", "a", word(2), word(3), word(5), word(6), "zzzz"]), rng.choice([None, "", "A", "C"])) for i in range(150)]
+    want = {}
+    for d, name, abbr in pages:
+        for qid, seq, own, title, label, acronym in known:
+            same = d is not None and d == own
+            if same or abbr is not None and abbr == acronym or name is not None and any(t is not None and name in t for t in (title, label)):
+                want[d] = min(want.get(d, (2,)), (0 if same else 1, seq is None, seq or 0, qid))
+    p = spark.createDataFrame(pages, "dblp_id string, name string, abbreviation string")
+    s = spark.createDataFrame(known, "qid string, seq int, dblp_id string, title string, label string, acronym string")
+    out = resolve.series_by_rules(p, s)
+    assert {r.dblp_id: (r.rule, r.qid) for r in out.collect()} == {d: (w[0], w[3]) for d, w in want.items()}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def _cosines(rows):
     """{l_id: (r_id, score)} by brute force, scores rounded half away from zero."""
     def score(a, b):
