@@ -160,31 +160,42 @@ class _Steps:
         loglik[self.order] = np.bincount(self.row, np.log10(scale), self.n)
         return e, alpha, scale, loglik
 
+    def scaled(self, m: Model):
+        """Emissions and scaled forward probabilities, both state by token in single precision, and scales."""
+        e = np.ascontiguousarray(m.emit.astype(np.float32)[self.ids].T)
+        start, move = m.start.astype(np.float32)[:, None], np.ascontiguousarray(m.move.T.astype(np.float32))
+        scale, alpha, a = np.empty(e.shape[1], np.float32), np.empty_like(e), None
+        for x, y in zip(self.upto[:-1].tolist(), self.upto[1:].tolist()):
+            a = np.multiply(start if a is None else move @ a[:, : y - x], e[:, x:y], out=alpha[:, x:y])
+            np.add.reduce(a, axis=0, out=scale[x:y])
+            a *= 1 / scale[x:y]
+        return e, alpha, scale
+
     def counts(self, m: Model, total: np.ndarray, start: np.ndarray, move: np.ndarray) -> float:
-        """Adds the expected counts of one Baum-Welch pass; returns the log10 likelihood."""
-        e, alpha, scale, loglik = self.forward(m)
-        e /= scale[:, None]
-        back = m.move.T.copy()
+        """Adds the expected counts of one Baum-Welch pass; returns the log10 likelihood.
+
+        Probabilities are in single precision, as each step is scaled; sums over all tokens are in double precision.
+        """
+        e, alpha, scale = self.scaled(m)
+        loglik = float(np.log10(scale, dtype=np.float64).sum())
+        e *= 1 / scale
+        back = m.move.astype(np.float32)
         b = None
         pairs = np.zeros_like(move)
-        for t in range(len(self.active) - 1, -1, -1):
-            x, y = self.upto[t], self.upto[t + 1]
-            a = alpha[x:y]
+        for x, y in zip(self.upto[-2::-1].tolist(), self.upto[:0:-1].tolist()):
             if b is not None:
-                n = len(b)
-                pairs += a[:n].T @ b
-                b = b @ back
-                a[:n] *= b  # now the state's probability at this step
-                last = e[x:y].copy()
-                last[:n] *= b
-                b = last
-            else:
-                b = e[x:y].copy()
+                n = b.shape[1]
+                a = alpha[:, x : x + n]
+                pairs += a @ b.T
+                b = back @ b
+                a *= b  # now the state's probability at this step
+                e[:, x : x + n] *= b
+            b = e[:, x:y]
         move += pairs * m.move
-        start += alpha[: self.active[0]].sum(0)
+        start += alpha[:, : self.active[0]].sum(1, dtype=np.float64)
         for s in range(total.shape[1]):
-            total[:, s] += np.bincount(self.ids, alpha[:, s], len(total))
-        return float(loglik.sum())
+            total[:, s] += np.bincount(self.ids, alpha[s], len(total))
+        return loglik
 
 
 def _runs(lengths: np.ndarray):

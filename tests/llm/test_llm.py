@@ -478,6 +478,26 @@ def test_forward_is_exact():
         assert np.isclose(x, np.log10(total))
 
 
+def test_expected_counts_in_single_precision():
+    rng = np.random.default_rng(1)
+    m = hmm.Model(np.array([0.5, 0.3, 0.2]), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T)
+    seqs = [rng.integers(0, 6, k).astype(np.int32) for k in (5, 1, 3, 5)]
+    steps = hmm._Steps(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]))
+    assert all(x.dtype == np.float32 for x in steps.scaled(m)) and steps.scaled(m)[1].shape == (3, 14)
+    got = np.zeros((6, 3)), np.zeros(3), np.zeros((3, 3))
+    loglik = steps.counts(m, *got)
+    emit, start, move, total = np.zeros((6, 3)), np.zeros(3), np.zeros((3, 3)), 0.0
+    for s in seqs:
+        paths = np.array(np.meshgrid(*[[0, 1, 2]] * len(s))).reshape(len(s), -1).T
+        p = np.array([m.start[q[0]] * np.prod(m.emit[s, q]) * np.prod(m.move[q[:-1], q[1:]]) for q in paths])
+        total += np.log10(p.sum())
+        for q, w in zip(paths, p / p.sum()):
+            start[q[0]] += w
+            np.add.at(emit, (s, q), w)
+            np.add.at(move, (q[:-1], q[1:]), w)
+    assert np.isclose(loglik, total, rtol=1e-6) and all(np.allclose(x, y, atol=1e-5) for x, y in zip(got, (emit, start, move)))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
