@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import html as H
 from .functions import text as T
-from .operators import complete, ensemble, resolve, scans, similarity
+from .operators import complete, ensemble, resolve, runs, scans, similarity
 from .plans import learning, tuning
 from .sources import tables
 from .sources.tables import LITERAL_SERIES
@@ -162,9 +162,7 @@ SELECT l_id, r_id, round(inter / (len(x.g) + len(y.g) - inter), 6) AS score
 FROM i JOIN g x ON x.id = l_id JOIN g y ON y.id = r_id WHERE 2 * inter >= len(x.g) + len(y.g) - inter""")
 def word_trigram_jaccard(spark, sf):
     """Documents that share at least half of their word trigrams."""
-    words = _texts(spark, sf).select("id", T.words(F.col("text")).alias("w"))
-    sets = words.select("id", T.token_ngrams(F.col("w"), 3).alias("grams"))
-    return similarity.set_similarity_pairs(sets, sets, "jaccard", Fraction(1, 2)).filter("l_id < r_id").select("l_id", "r_id", F.round("score", 6).alias("score"))
+    return runs.similar_texts(_texts(spark, sf), Fraction(1, 2)).select("l_id", "r_id", F.round("score", 6).alias("score"))
 
 
 _POINTS = (0.8, 0.7, 0.6)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 from itertools import product
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
-from linkloom.operators import complete, ensemble, nearest, resolve, similarity
+from linkloom.operators import complete, ensemble, nearest, resolve, runs, similarity
 
 
 @pytest.mark.parametrize("measure,threshold", [("dice", Fraction(3, 5)), ("jaccard", Fraction(1, 2)), ("dice", Fraction(1))])
@@ -174,3 +175,27 @@ def test_most_similar_vectors_have_no_row_by_row_loop(spark):
 def test_vectors_without_another(spark):
     one = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "id long, vec array<double>")
     assert similarity.cosine_top1(one, one).count() == 0 and similarity.cosine_top1(one.limit(0), one).count() == 0
+
+
+@pytest.mark.parametrize("threshold,small", [(Fraction(1, 2), False), (Fraction(1, 2), True), (Fraction(4, 5), True), (Fraction(1, 10), True)])
+def test_similar_texts_are_all_found(spark, monkeypatch, threshold, small):
+    if small:  # many buckets, slices and shuffled joins on few rows
+        for name, value in (("BYTES", 300), ("ROWS", 100), ("BUCKET", 500), ("PAIRS", 50), ("PLACES", 0)):
+            monkeypatch.setattr(runs, name, value)
+    rng = random.Random(11)
+    vocabulary = ["a", "b", "é", "d d", "ee", "f", "g,"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(60)]
+    for t in texts[:40]:
+        for _ in range(2):
+            w = t.split(" ")
+            w[rng.randrange(len(w))] = "x"
+            texts.append("\t ".join(w) + "\n")
+    rows = [(i, t) for i, t in enumerate(texts + texts[:9] + ["one common line of words " + str(i) for i in range(30)] + ["q q q q q"] * 25)] + [(900, None), (None, texts[0])]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[j : j + 3]) for w in [[x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]] for j in range(len(w) - 2)} for i, t in rows if t is not None and i is not None}
+    want = {(i, j): (len(a & b), len(a), len(b)) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and Fraction(len(a & b), len(a | b)) >= threshold}
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = runs.similar_texts(df, threshold).collect()
+    assert len(got) == len(want) and {(r.l_id, r.r_id): (r.inter, r.l_n, r.r_n) for r in got} == want
+    assert all(abs(r.score - r.inter / (r.l_n + r.r_n - r.inter)) < 1e-12 for r in got)
+    assert runs.similar_texts(df.limit(0), threshold).count() == 0
